@@ -249,8 +249,8 @@ def best_fit(parts: DataFrame, capacity: Capacity = Capacity(), measure: str = "
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns]
     ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*order)) - 1).join(before, ["length", "__bucket"])
     ranked = ranked.select(*parts.columns, (F.col("__before") + F.col("__rank")).alias("__rank"))
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
     names = parts.columns
+    schema = ranked.drop("__rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
