@@ -69,6 +69,17 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def once(c: Column) -> Column:
+    """``c``, evaluated once a row.
+
+    The optimizer copies a column's expression to where it is used, also into a
+    lambda, where it would be evaluated for every element, and into filters that
+    it infers. It leaves a nondeterministic expression where it is; the value
+    here does not depend on the row number.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a non-null text, as an array column."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table, text_or_empty, written
+from .common import documents, once, table, text_or_empty, written
 
 #: Placeholders: private-use characters, which are no part of a word otherwise.
 NUMBER, NAME, UNIT = map(chr, range(0xE000, 0xE003))
@@ -53,9 +53,9 @@ def windows(words: Column, size: int) -> Column:
 def benchmark_windows(items: DataFrame, size: int, only: int | None) -> DataFrame:
     """Windows of the items: hash, item, place, raw and template words, windows per item."""
     rows = items.where(F.col("item_id").isNotNull()).select("item_id", text_or_empty().alias("text"))
-    rows = rows.withColumn("__t", template(F.col("text"))).withColumn("__r", raw_words(F.col("text")))
+    rows = rows.withColumn("__t", once(template(F.col("text")))).withColumn("__r", once(raw_words(F.col("text"))))
     rows = rows.where(F.size("__t") >= size if only is None else F.size("__t") == only)
-    rows = rows.select("item_id", "__t", "__r", windows(F.col("__t"), size).alias("__h"))
+    rows = rows.select("item_id", "__t", "__r", once(windows(F.col("__t"), size)).alias("__h"))
     rows = rows.select("item_id", F.size("__h").alias("n_windows"), "__t", "__r", F.posexplode("__h").alias("ipos", "h"))
     raw, temp = F.slice("__r", F.col("ipos") + 1, size), F.slice("__t", F.col("ipos") + 1, size)
     marks = F.transform(temp, lambda x: x.rlike(f"[{PLACES}]"))
@@ -67,7 +67,7 @@ def matches(df: DataFrame, items: DataFrame, size: int, only: int | None, text:
     if bench.count() <= MOST_BROADCAST:
         bench = F.broadcast(bench)
     docs = df.select("doc_id", F.when(F.col("doc_id").isNull(), F.md5(text_or_empty(text))).alias("__alt"), text_or_empty(text).alias("__text"))
-    docs = docs.withColumn("__t", template(F.col("__text"))).withColumn("__h", windows(F.col("__t"), size))
+    docs = docs.withColumn("__t", once(template(F.col("__text")))).withColumn("__h", once(windows(F.col("__t"), size)))
     hits = docs.select("doc_id", "__alt", "__text", F.posexplode("__h").alias("dpos", "h")).join(bench, "h")
     own = F.slice(raw_words(F.col("__text")), F.col("dpos") + 1, size)
     pairs = F.filter(

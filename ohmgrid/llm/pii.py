@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, written
+from .common import documents, once, text_or_empty, written
 
 # The patterns start a match only where a run of their characters starts or the
 # last match ended, and take runs possessively: the same leftmost matches as the
@@ -56,17 +56,17 @@ def with_spans(df: DataFrame, kind: str, text: str = "__text") -> DataFrame:
     number of matches, so a text with very many of them stays affordable.
     """
     t = F.col(text)
-    df = df.withColumn("__m", found(t, kind))
+    df = df.withColumn("__m", once(found(t, kind)))
     some = F.size("__m") > 0
-    df = df.withColumn("__gap", F.when(some, F.split(t, PATTERNS.get(kind, CANDIDATE), -1)))
-    df = df.withColumn("__len", F.when(some, F.transform("__m", lambda m, i: F.char_length(m) + F.char_length(F.get("__gap", i)))))
+    df = df.withColumn("__gap", once(F.when(some, F.split(t, PATTERNS.get(kind, CANDIDATE), -1))))
+    df = df.withColumn("__len", once(F.when(some, F.transform("__m", lambda m, i: F.char_length(m) + F.char_length(F.get("__gap", i))))))
     df = df.withColumn("__b", F.when(some, F.ceil(F.sqrt(F.size("__m"))).cast("int")))
 
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__m") - 1) / F.col("__b")).cast("int")), lambda k: total(F.slice("__len", k * F.col("__b") + 1, F.col("__b"))))
-    df = df.withColumn("__sum", F.when(some, blocks))
+    df = df.withColumn("__sum", once(F.when(some, blocks)))
 
     def span(m: Column, i: Column) -> Column:
         block = F.floor(i / F.col("__b")).cast("int")
@@ -74,7 +74,7 @@ def with_spans(df: DataFrame, kind: str, text: str = "__text") -> DataFrame:
         return F.struct(m.alias("m"), (end - F.char_length(m)).alias("start"), end.alias("end"), F.right(F.get("__gap", i), F.lit(48)).alias("before"))
 
     spans = F.when(some, F.transform("__m", span)).otherwise(F.array().cast("array<struct<m:string,start:int,end:int,before:string>>"))
-    return df.withColumn(f"__m_{kind}", spans).drop("__m", "__gap", "__len", "__b", "__sum")
+    return df.withColumn(f"__m_{kind}", once(spans)).drop("__m", "__gap", "__len", "__b", "__sum")
 
 
 def digits(m: Column) -> Column:
@@ -108,11 +108,12 @@ def base_spans(df: DataFrame, text: str = "__text") -> DataFrame:
     """Add __base: array of (kind, start, end), by kind as listed, then start."""
     for kind in PATTERNS:
         df = with_spans(df, kind, text)
-    parts = [
-        F.transform(F.filter(f"__m_{k}", lambda x, k=k: valid(k, x["m"])), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-        for k in PATTERNS
-    ]
-    return df.withColumn("__base", F.concat(*parts)).drop(*[f"__m_{k}" for k in PATTERNS])
+    def kept(kind: str) -> Column:
+        good = F.filter(f"__m_{kind}", lambda x: valid(kind, x["m"]))
+        return F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    parts = [kept(k) for k in PATTERNS]
+    return df.withColumn("__base", once(F.concat(*parts))).drop(*[f"__m_{k}" for k in PATTERNS])
 
 
 def votes(m: Column, before: Column) -> list[Column]:
@@ -156,7 +157,7 @@ def candidates(df: DataFrame, text: str = "__text") -> DataFrame:
         )
 
     free = F.filter("__m_candidate", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return df.withColumn("__cand", F.transform(free, row)).drop("__m_candidate")
+    return df.withColumn("__cand", once(F.transform(free, row))).drop("__m_candidate")
 
 
 @dataclass
@@ -245,8 +246,13 @@ def joined(spans: Column) -> Column:
 
 def with_all_spans(df: DataFrame, model: SpanModel) -> DataFrame:
     """Add __spans: the base spans, then the accepted candidates, by kind and start."""
-    more = [F.transform(F.filter("__cand", lambda x, k=k: (x["kind"] == k) & accepted(model, x)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))) for k in ADDED]
-    return df.withColumn("__spans", F.concat("__base", *more))
+
+    def taken(kind: str) -> Column:
+        good = F.filter("__cand", lambda x: (x["kind"] == kind) & accepted(model, x))
+        return F.transform(good, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    more = [taken(k) for k in ADDED]
+    return df.withColumn("__spans", once(F.concat("__base", *more)))
 
 
 def find_pii(df: DataFrame, text: str = "text") -> tuple[DataFrame, SpanModel]:
@@ -292,7 +298,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
     spans = candidates(base_spans(row.withColumn("__text", F.coalesce(F.col("__row")[text], F.lit("")))))
     model = estimate(count_patterns(spans.select("__cand")))
-    out = with_all_spans(spans, model).withColumn("__sorted", F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    out = with_all_spans(spans, model).withColumn("__sorted", once(F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
     out = out.withColumn("__new", F.when(F.col("__row")[text].isNotNull(), redacted(F.col("__text"), F.col("__sorted"))))
 
     def value(c: str) -> Column:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, word_array, written
+from .common import documents, once, text_or_empty, word_array, written
 
 #: Transformed statistics, in fixed point with ``SCALE`` steps to one.
 VECTOR = ("z0", "z1", "z2", "z3")
@@ -51,19 +51,19 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """
     txt = text_or_empty(text)
     df = df.drop(*BASE)
-    out = df.withColumn("__txt", txt).withColumn("__w", word_array(F.col("__txt")))
-    out = out.withColumn("__lines", F.filter(F.split("__txt", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    out = df.withColumn("__txt", txt).withColumn("__w", once(word_array(F.col("__txt"))))
+    out = out.withColumn("__lines", once(F.filter(F.split("__txt", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     w = F.col("__w")
     n = F.size(w)
-    out = out.withColumn("__h", F.when(n >= 3, F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
+    out = out.withColumn("__h", once(F.when(n >= 3, F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))))
     h = F.col("__h")
     out = out.withColumn(
-        "__sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+        "__sorted", once(F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     )
     s = F.col("__sorted")
     # a window counts if the one before or after it in the sorted order is equal
     again = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("__at", F.array_sort(F.transform(again, lambda x: x["i"])))
+    out = out.withColumn("__at", once(F.array_sort(F.transform(again, lambda x: x["i"]))))
     at = F.col("__at")
     covered = F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     out = out.select(

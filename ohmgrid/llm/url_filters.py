@@ -14,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table, written
+from .common import UPPER, once, table, written
 
 BAD = "label=bad"
 GOOD = "label=good"
@@ -71,39 +71,39 @@ def explicit(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host, its parts and parents, path pieces, query keys.
+    """Distinct tokens of a URL: scheme, host, site, the host's other words, first path pieces, query keys.
 
-    Digits count by their number only, so that ids of pages do not each make a token.
+    Digits count by their number only, so that ids of pages do not each make a
+    token. The host's last two labels are its site.
     """
     u = F.coalesce(url, F.lit(""))
     host, path = url_parts(u)
     scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     shape = lambda x: F.regexp_replace(F.lower(x), r"[0-9]+", "9")
-    labels = F.split(host, r"\.", -1)
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    words = F.transform(F.split(host, r"[^a-z0-9]+", -1), lambda x: F.concat(F.lit("word="), x))
-    parts = F.transform(F.split(path, r"[/._-]+", -1), lambda x: F.concat(F.lit("path="), shape(x)))
+    words = F.transform(F.split(F.regexp_replace(host, r"\.?[^.]*\.[^.]*$", ""), r"[^a-z0-9]+", -1), lambda x: F.concat(F.lit("word="), x))
+    parts = F.transform(F.slice(F.split(path, r"/+", -1), 2, 2), lambda x: F.concat(F.lit("path="), shape(x)))
     keys = F.transform(F.regexp_extract_all(query, F.lit(r"([^=&]+)=?[^&]*"), F.lit(1)), lambda x: F.concat(F.lit("key="), F.lower(x)))
-    everything = F.array_distinct(F.concat(F.array(F.concat(F.lit("scheme="), F.lower(scheme))), parents, words, parts, keys))
-    return F.filter(everything, lambda x: ~x.rlike(r"^[a-z]+=$"))
+    single = F.array(F.concat(F.lit("scheme="), F.lower(scheme)), F.concat(F.lit("host="), host), F.concat(F.lit("site="), F.regexp_extract(host, r"[^.]*\.[^.]*$", 0)))
+    return F.filter(F.array_distinct(F.concat(single, words, parts, keys)), lambda x: ~x.rlike(r"^[a-z]+=$"))
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.5, lift: float = 1.5, items: int = 3) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, support: float = 0.003, confidence: float = 0.5, lift: float = 1.5, items: int = 3, least: int = 20) -> DataFrame:
     """Rules (antecedent array, confidence, support, lift) for a bad label.
 
     ``pages``: page_id, url; ``labels``: doc_id (the page's id), quality, toxic.
     Bad is quality 0 or toxic 1; a page with null in both has no label. Rules
-    whose antecedent has more than ``items`` tokens or is a superset of another
-    rule's are dropped: the shorter one fires wherever the longer does. No labels
-    or no tokens give no rules.
+    whose antecedent has more than ``items`` tokens are dropped. A combination
+    needs the share ``support`` of the labelled pages and ``least`` of them. No
+    labels or no tokens give no rules.
     """
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.col("quality") == 0, F.col("toxic") == 1)
     known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).where("bad is not null and page_id is not null")
     known = known.groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", "url").join(known, "page_id").select(F.array_append(url_tokens(F.col("url")), F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items"))
     rows = written(rows, "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
+    n = rows.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(n, 1))), minConfidence=confidence).fit(rows)
     found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") >= lift) & (F.size("antecedent") <= items))
     return written(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift").distinct(), "url-rules")
 
@@ -115,7 +115,7 @@ def blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
     at most; the rest of the antecedent is checked on the row.
     """
     index = rules.select("antecedent", F.get("antecedent", F.size("antecedent") - 1).alias("token"))
-    tokens = urls.select("url").where("url is not null").distinct().withColumn("tokens", url_tokens(F.col("url")))
+    tokens = urls.select("url").where("url is not null").distinct().withColumn("tokens", once(url_tokens(F.col("url"))))
     hits = tokens.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     return hits.select("url").distinct()
 
