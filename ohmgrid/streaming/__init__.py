@@ -1,0 +1 @@
+"""Nothing here: the modelled engine has no streams, windows or late data to express."""
