@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +19,29 @@ from pyspark.sql import functions as F
 
 from .common import documents, table
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 #: Labelled rows that the fit takes at most (by hash order of the id).
 MOST_ROWS = 8_000
 #: Training texts contribute at most this many distinct features each; the largest counts win.
 MOST_FEATURES = 2_000
 _word = re.compile(r"\S+")
 _bare = re.compile(r"[^\W_]+").search
-_hash: dict[str, int] = {}
+#: Starts of longer words that are features as well, so that inflected forms share weights.
+STARTS = (5, 7)
+_hash: dict[str, tuple[int, ...]] = {}
 
 
-def _token(word: str) -> int:
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % (BUCKETS - 64) + 64
+
+
+def _tokens(word: str) -> tuple[int, ...]:
+    """Buckets of a word, lower-cased and without signs around it, and of its starts."""
     if (h := _hash.get(word)) is None:
         bare = _bare(word)
-        h = zlib.crc32((bare[0].lower() if bare else word[:8]).encode("utf-8", "surrogatepass")) % (BUCKETS - 64) + 64
-        if len(_hash) > 500_000:
+        w = bare[0].lower() if bare else word[:8]
+        h = (_bucket(w), *(_bucket(f"{w[:n]}-") for n in STARTS if len(w) > n))
+        if len(_hash) > 300_000:
             _hash.clear()
         if len(word) < 100:
             _hash[word] = h
@@ -59,9 +68,9 @@ def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = _word.findall(text or "")
     if not words:
         return np.array([0, 16]), np.array([1.0, 1.0])
-    ids, n = np.unique(np.fromiter(map(_token, words), np.int64, len(words)), return_counts=True)
+    ids, n = np.unique(np.fromiter(chain.from_iterable(map(_tokens, words)), np.int64), return_counts=True)
     extra = shape(words)
-    return np.concatenate([[i for i, _ in extra], ids]), np.concatenate([[v * 4 for _, v in extra], (1 + np.log(n)) * 0.25])
+    return np.concatenate([[i for i, _ in extra], ids]), np.concatenate([[v * 4 for _, v in extra], (1 + np.log(n)) * 0.5])
 
 
 class Model:
@@ -76,8 +85,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - v @ self.weights[i], -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, epochs: int = 25, rate: float = 0.15, l2: float = 2e-6) -> Model:
-    """Mini-batch AdaGrad on the cumulative-link likelihood.
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, steps: int = 2_500, rate: float = 0.15, l2: float = 1e-3) -> Model:
+    """Mini-batch AdaGrad on the cumulative-link likelihood, about ``steps`` batches of 64.
+
+    The result is the mean of the parameters over the second half of the passes.
 
     Thresholds are kept in order by their gaps' logarithms. Without rows, all
     grades are equally likely.
@@ -88,12 +99,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
         return Model(w, -np.log(np.arange(levels - 1, 0, -1) / np.arange(1, levels)))
     square, square_t = np.full(BUCKETS, 1e-3), np.full(levels - 1, 1e-3)
     random = np.random.default_rng(7)
-    for _ in range(epochs):
+    passes, mean, kept = -(-steps * 64 // max(len(rows), 64)), [np.zeros(BUCKETS), 0.0, np.zeros(levels - 2)], 0
+    for k in range(passes):
         for batch in np.array_split(random.permutation(len(rows)), max(1, len(rows) // 64)):
             t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-            ids = np.concatenate([rows[k][0] for k in batch])
-            values = np.concatenate([rows[k][1] for k in batch])
-            of = np.repeat(np.arange(len(batch)), [len(rows[k][0]) for k in batch])
+            ids = np.concatenate([rows[i][0] for i in batch])
+            values = np.concatenate([rows[i][1] for i in batch])
+            of = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
             score = np.bincount(of, values * w[ids], len(batch))
             y = grades[batch]
             low = np.where(y > 0, t[np.maximum(y - 1, 0)], -np.inf)
@@ -108,10 +120,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
             square[hit] += grad[hit] ** 2
             w[hit] -= rate * grad[hit] / np.sqrt(square[hit])
             gt = (np.bincount(np.maximum(y - 1, 0), np.where(y > 0, da, 0.0), levels - 1) - np.bincount(np.minimum(y, levels - 2), np.where(y < levels - 1, db, 0.0), levels - 1)) / len(batch)
-            own = np.concatenate([[gt.sum()], np.array([gt[k + 1 :].sum() * np.exp(gaps[k]) for k in range(levels - 2)])])
+            own = np.concatenate([[gt.sum()], np.array([gt[i + 1 :].sum() * np.exp(gaps[i]) for i in range(levels - 2)])])
             square_t += own**2
             step = rate * own / np.sqrt(square_t)
             first, gaps = first - step[0], gaps - step[1:]
+        if 2 * k >= passes - 1:
+            kept += 1
+            mean = [m + (x - m) / kept for m, x in zip(mean, (w, first, gaps), strict=True)]
+    w, first, gaps = mean
     return Model(w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
