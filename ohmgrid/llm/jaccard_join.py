@@ -146,7 +146,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _cut(share: float) -> int:
-    return int(share * 2**64)
+    return min(int(share * 2**64), 2**64 - 1)
 
 
 def profiles(df: DataFrame, width: int, share: float) -> DataFrame:
@@ -341,17 +341,27 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, share: flo
     block = entry.withColumn("block", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")).withColumn("rest", F.col("n") - F.col("pos"))
     hubs = block.groupBy("token", "block").agg(F.min(F.struct("doc", "n", "rest")).alias("h"), F.count("*").alias("c")).where("c > 1")
     near = block.join(hubs, ["token", "block"]).where((F.col("doc") != F.col("h.doc")) & enough(F.col("n"), F.col("h.n"), F.col("rest"), F.col("h.rest"), percent))
-    seen = verify(near.select(F.col("doc").alias("a"), F.col("h.doc").alias("b")), docs, width, unique)
+    # of its block heads a set first meets the one it shares most of its prefix with; the others come with the leaders
+    near = near.groupBy(F.col("doc").alias("a"), F.col("h.doc").alias("b")).agg(F.count("*").alias("c")).groupBy("a").agg(F.min_by("b", F.struct(-F.col("c"), "b")).alias("b"))
+    seen = verify(near, docs, width, unique)
     links = seen.where(linked(percent))
     comp = written(components(links), "components")
 
     # leaders: the linked block head that is nearest, or the set itself
     gap = 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
     lead = written(links.groupBy("a").agg(F.min(F.struct(gap.alias("gap"), F.col("b").alias("b"))).alias("l")).select(F.col("a").alias("doc"), F.col("l.b").alias("leader"), F.col("l.gap").alias("gap")), "leaders")
-    placed = entry.withColumn("rest", F.col("n") - F.col("pos")).join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(lead, "doc", "left")
-    placed = placed.select("token", "doc", "n", "rest", F.coalesce("comp", "doc").alias("comp"), F.coalesce("leader", "doc").alias("leader"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
-    open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    placed = written(placed.join(open_lists, "token"), "open-lists")
+
+    def open_lists(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("rest", F.col("n") - F.col("pos")).join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(lead, "doc", "left")
+        rows = rows.select("token", "doc", "n", "rest", F.coalesce("comp", "doc").alias("comp"), F.coalesce("leader", "doc").alias("leader"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
+        still = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        return rows.join(still, "token")
+
+    # only sets in lists that join components can link any more; among them all shingles are
+    # counted, so that the positions tell how many shingles a set shares with none of the others
+    left = written(open_lists(entry).select(F.col("doc").alias("doc_id")).distinct(), "open")
+    some = F.broadcast(left) if left.count() <= MOST_BROADCAST else left
+    placed = written(open_lists(entries(docs.join(some, "doc_id", "left_semi"), classes.withColumn("k", F.col("n")), width, 1.0, percent)), "open-lists")
     heads = placed.groupBy("token", "leader").agg(F.min("comp").alias("comp"), F.max("gap").alias("far"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     x, y = heads.alias("x"), heads.alias("y")
     sizes = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
@@ -366,13 +376,13 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, share: flo
         answers = seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), gap.alias("gap")).unionByName(fresh.select("a", "b", gap.alias("gap"))).distinct()
         within = (100 - percent) / 100 + 1e-9
         maybe = met.join(answers, ["a", "b"], "left").where((F.col("fa") + F.col("fb") > 0) & (F.coalesce("gap", F.lit(0.0)) <= within + F.col("fa") + F.col("fb")))
-        maybe = written(maybe.select(F.col("a").alias("la"), F.col("b").alias("lb")), "follower-pairs")
+        maybe = written(maybe.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.coalesce("gap", F.lit(0.0)).alias("apart")), "follower-pairs")
         if not maybe.isEmpty():
             at = comp.withColumnRenamed("node", "doc").withColumnRenamed("comp", "now")
             place = placed.join(at, "doc", "left").withColumn("now", F.coalesce("now", "doc"))
-            x = place.join(maybe, F.col("leader") == F.col("la")).select("token", "lb", F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("rest").alias("xr"), F.col("now").alias("xc"))
-            y = place.select("token", F.col("leader").alias("lb"), F.col("doc").alias("yd"), F.col("n").alias("yn"), F.col("rest").alias("yr"), F.col("now").alias("yc"))
-            pairs = x.join(y, ["token", "lb"]).where((F.col("xc") != F.col("yc")) & enough(F.col("xn"), F.col("yn"), F.col("xr"), F.col("yr"), percent))
+            x = place.join(maybe, F.col("leader") == F.col("la")).select("token", "lb", (F.col("apart") - F.col("gap") - within).alias("xg"), F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("rest").alias("xr"), F.col("now").alias("xc"))
+            y = place.select("token", F.col("leader").alias("lb"), F.col("gap").alias("yg"), F.col("doc").alias("yd"), F.col("n").alias("yn"), F.col("rest").alias("yr"), F.col("now").alias("yc"))
+            pairs = x.join(y, ["token", "lb"]).where((F.col("xc") != F.col("yc")) & (F.col("xg") <= F.col("yg")) & enough(F.col("xn"), F.col("yn"), F.col("xr"), F.col("yr"), percent))
             pairs = pairs.select(F.greatest("xd", "yd").alias("a"), F.least("xd", "yd").alias("b")).distinct()
             last = verify(pairs, docs, width, unique)
             links = written(links.unionByName(last.where(linked(percent))), "links")
