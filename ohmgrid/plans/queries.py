@@ -467,3 +467,74 @@ def _(spark, d):
     for r in response_pairs(spark, d).collect():
         response[r["i"], r["j"]] = response[r["j"], r["i"]] = r["y"]
     return rounded(S.grid_loglik(spark, [[t, -0.0005] for t in (-0.02, -0.01, 0.0, 0.01, 0.02)], land, response), "loglik", digits=4)
+
+
+# -- lookups, sets, scales --------------------------------------------------------
+
+
+@query("scale_summary", "SELECT CAST(p AS DOUBLE) AS probability, ROUND(2.5 * SQRT(-2 * LN(1 - p)), 6) AS radial, ROUND(2.5 * SQRT(-2 * LN(1 - p)) / 30, 6) AS cells FROM (SELECT UNNEST([0.5, 0.8, 0.95]) AS p)")
+def _(spark, d):
+    rows = [(p, radial, cells) for p, _, radial, cells in C.scale_summary(2.5, [0.5, 0.8, 0.95], 30.0)]
+    return rounded(spark.createDataFrame(rows, "probability double, radial double, cells double"), "radial", "cells")
+
+
+@query("theta_cross", "SELECT a, b FROM (SELECT UNNEST([-1.0, 0.0, 1.0])::DOUBLE AS a), (SELECT UNNEST([0.5, 2.0])::DOUBLE AS b)")
+def _(spark, d):
+    from .scale import theta_grid
+
+    return theta_grid(spark, {"a": [-1, 0, 1], "b": [0.5, 2]}).drop("grid_id")
+
+
+@query("effect_alignment", "WITH t AS (SELECT p_brand AS parameter, AVG(p_size) AS est FROM part GROUP BY 1), e AS (SELECT DISTINCT p_brand AS parameter, 25.0::DOUBLE AS truth FROM part WHERE p_size > 48) SELECT parameter, ROUND(est, 6) AS est, truth, ROUND(est - truth, 6) AS bias FROM t LEFT JOIN e USING (parameter)")
+def _(spark, d):
+    p = X.read(spark, d, "part").withColumnRenamed("p_brand", "parameter")
+    truth = p.where("p_size > 48").select("parameter", F.lit(25.0).alias("truth")).distinct()
+    est = p.groupBy("parameter").agg(F.avg("p_size").alias("est"))
+    return rounded(est.join(truth, "parameter", "left").withColumn("bias", F.col("est") - F.col("truth")), "est", "bias")
+
+
+@query("boundary_difference", f"{A}, s AS (SELECT s_suppkey * 20 + 3 AS cell FROM supplier WHERE s_suppkey < 10) SELECT cell FROM active EXCEPT SELECT cell FROM s")
+def _(spark, d):
+    return active(spark, d).select("cell").join(site_table(spark, d).select("cell"), "cell", "left_anti")
+
+
+@query("boundary_intersection", f"{A}, s AS (SELECT s_suppkey * 20 + 3 AS cell FROM supplier WHERE s_suppkey < 10) SELECT cell FROM active INTERSECT SELECT cell FROM s")
+def _(spark, d):
+    return active(spark, d).select("cell").intersect(site_table(spark, d).select("cell"))
+
+
+@query("reverse_pairs", f"{DIRECTED} SELECT f.a, f.b, ROUND(f.d + r.d, 6) + 0.0 AS zero FROM gr f JOIN gr r ON r.a = f.b AND r.b = f.a WHERE f.a < f.b")
+def _(spark, d):
+    g = generator(spark, d)
+    back = g.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("d").alias("__d"))
+    return rounded(g.where("a < b").join(back, ["a", "b"]).select("a", "b", (F.col("d") + F.col("__d")).alias("zero")), "zero")
+
+
+@query("mark_best_model", f"WITH {REPS_SQL}, m AS (SELECT model, replicate, ROUND(AVG(est), 6) AS ic FROM reps GROUP BY 1, 2) SELECT replicate, ARG_MIN(model, ic) AS best, MIN(ic) AS ic FROM m GROUP BY replicate")
+def _(spark, d):
+    m = replicates(spark, d).groupBy("model", "replicate").agg(F.round(F.avg("est"), 6).alias("ic"))
+    return m.groupBy("replicate").agg(F.min_by("model", "ic").alias("best"), F.min("ic").alias("ic"))
+
+
+@query("field_values", f"{A} SELECT cell, row // 4 AS fr, col // 4 AS fc, ROUND(EXP(0.1 * ((row // 4) - (col // 4))), 6) AS c FROM active")
+def _(spark, d):
+    binned = G.field_bins(active(spark, d), 4)
+    field = binned.select("fr", "fc").distinct().withColumn("u", 0.1 * (F.col("fr") - F.col("fc")))
+    return rounded(binned.join(field, ["fr", "fc"]).select("cell", "fr", "fc", F.exp("u").alias("c")), "c")
+
+
+@query("within_variance", f"WITH {X.FEATURES_SQL}, v AS (SELECT grp, feature, VAR_SAMP(value) AS v FROM features GROUP BY 1, 2) SELECT grp, ROUND(SUM(v), 6) AS value FROM v GROUP BY grp")
+def _(spark, d):
+    return rounded(Q.within_variance(X.features(spark, d)), "value")
+
+
+@query("spline_design")
+def _(spark, d):
+    out, _ = design(active(spark, d), "~ s(price, df=5)")
+    return rounded(out, *out.columns[1:])
+
+
+@query("pca_distance")
+def _(spark, d):
+    c = Q.centroids(X.features(spark, d)).withColumnRenamed("grp", "unit").withColumnRenamed("mean", "value")
+    return rounded(Q.pca_distance(c, 4), "value")
