@@ -227,7 +227,7 @@ def entries(df: DataFrame, classes: DataFrame, width: int, share: float, percent
     cut = int(np.array([_cut(share)], np.uint64)[0] ^ _FLIP) - (1 << 64) if _cut(share) < 2**63 else int(np.uint64(_cut(share)) ^ _FLIP)
     counted = F.col("token") < F.lit(cut)
     item = F.struct(F.when(counted, 0).otherwise(1).alias("late"), F.when(counted, F.col("freq")).otherwise(F.lit(0)).alias("freq"), F.col("token").alias("token"))
-    lists = shared.groupBy("doc", "n", "k").agg(F.array_sort(F.array_distinct(F.collect_list(item))).alias("list"))
+    lists = shared.groupBy("doc", "n", "k").agg(F.array_sort(F.collect_set(item)).alias("list"))
     early = F.size(F.filter("list", lambda x: x["late"] == 0))
     lists = lists.withColumn("alone", F.col("k") - early)
     rows = lists.select("doc", "n", "alone", F.posexplode("list").alias("rank", "x"))
@@ -351,17 +351,24 @@ def join_components(df: DataFrame, width: int = 5, percent: int = 80, share: flo
     gap = 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
     lead = written(links.groupBy("a").agg(F.min(F.struct(gap.alias("gap"), F.col("b").alias("b"))).alias("l")).select(F.col("a").alias("doc"), F.col("l.b").alias("leader"), F.col("l.gap").alias("gap")), "leaders")
 
-    def open_lists(rows: DataFrame) -> DataFrame:
+
+    def open_entries(rows: DataFrame, name: str) -> DataFrame:
+        """Entries with a block of another component near that size and position allow; three blocks at most for each."""
         rows = rows.withColumn("rest", F.col("n") - F.col("pos")).join(comp.withColumnRenamed("node", "doc"), "doc", "left").join(lead, "doc", "left")
         rows = rows.select("token", "doc", "n", "rest", F.coalesce("comp", "doc").alias("comp"), F.coalesce("leader", "doc").alias("leader"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
-        still = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return rows.join(still, "token")
-
-    # only sets in lists that join components can link any more; among them all shingles are
+        rows = written(rows.withColumn("block", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")), name)
+        heads = rows.groupBy("token", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("far"))
+        near = rows.withColumn("block", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)]))).join(heads, ["token", "block"])
+        sizes = (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n"))
+        room = F.least("rest", "far") * (100 + percent) >= percent * (F.col("n") + F.col("low"))
+        near = near.where(((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & sizes & room)
+        return near.select("token", "doc", "n", "rest", "comp", "leader", "gap").distinct()
+
+    # only sets with such entries can link to another component; among them all shingles are
     # counted, so that the positions tell how many shingles a set shares with none of the others
-    left = written(open_lists(entry).select(F.col("doc").alias("doc_id")).distinct(), "open")
+    left = written(open_entries(entry, "placed").select(F.col("doc").alias("doc_id")).distinct(), "open")
     some = F.broadcast(left) if left.count() <= MOST_BROADCAST else left
-    placed = written(open_lists(entries(docs.join(some, "doc_id", "left_semi"), classes.withColumn("k", F.col("n")), width, 1.0, percent)), "open-lists")
+    placed = written(open_entries(entries(docs.join(some, "doc_id", "left_semi"), classes.withColumn("k", F.col("n")), width, 1.0, percent), "open-placed"), "open-lists")
     heads = placed.groupBy("token", "leader").agg(F.min("comp").alias("comp"), F.max("gap").alias("far"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     x, y = heads.alias("x"), heads.alias("y")
     sizes = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
