@@ -2,13 +2,14 @@
 
 Numbers, names and units become typed placeholders; windows of the resulting
 words are hashed and joined with those of the benchmark. A document matches an
-item where enough windows lie on one diagonal and the placeholders' values map
-consistently, so questions whose parameters were changed are found too.
+item where runs of windows near each other hold enough of its words, or one run
+is long, and the placeholders' values map consistently in each run, so questions
+whose parameters were changed are found too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, once, table, text_or_empty, written
@@ -22,6 +23,8 @@ UNITS = (
     "stunde|stunden|tage|jahre|heures|jours|ans|horas|días|años"
 )
 WINDOW, LEAST_WORDS = 8, 5
+#: Words of a run that match whatever share of the item they are.
+LONG_RUN = 13
 #: Benchmark windows up to which their table is broadcast (about 100 bytes each); beyond, the join shuffles.
 MOST_BROADCAST = 200_000
 
@@ -77,12 +80,19 @@ def matches(df: DataFrame, items: DataFrame, size: int, only: int | None, text:
     return hits.select("doc_id", "__alt", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", "n_windows", F.when(F.col("slots").isNotNull(), pairs).alias("pairs"))
 
 
-def contaminated(df: DataFrame, items: DataFrame, coverage: float = 0.5, size: int = WINDOW, text: str = "text") -> DataFrame:
-    """A row per (document, item) that match: doc_id, item_id, n_windows, matched, coverage, n_slots, n_changed.
+def contaminated(df: DataFrame, items: DataFrame, coverage: float = 0.5, size: int = WINDOW, text: str = "text", long_run: int = LONG_RUN) -> DataFrame:
+    """A row per (document, item) that match: doc_id, item_id, n_windows, matched, coverage, n_slots, n_changed, run_words.
 
-    ``df``: doc_id, text; ``items``: item_id, text. At least ``coverage`` of the
-    item's windows must lie on one diagonal of the document, and there each
+    ``df``: doc_id, text; ``items``: item_id, text. A run is a stretch of the
+    item's windows that follow each other in the document as well; in a run each
     value of a placeholder in the item must stand for one value in the document.
+    Runs no farther apart in the document than the item is long are added up,
+    on whatever diagonals they lie, so inserted, deleted and replaced words do
+    not hide a copy. They match if they hold at least the share ``coverage`` of
+    the item's words, each word of either side counted once. A run of
+    ``long_run`` words matches whatever share of the item it is, if ``size`` of
+    them at least are not changed values; so does a stretch of that length with
+    no changed value within a run whose values contradict each other.
     Items of fewer than ``size`` words are one window as a whole; of fewer than
     5, or with a null id, they are left out. Null texts match nothing. Rows that
     share a doc_id are one document; a null doc_id is kept apart by its text
@@ -91,16 +101,64 @@ def contaminated(df: DataFrame, items: DataFrame, coverage: float = 0.5, size: i
     per document, spread by document.
     """
     short = [n for n in range(LEAST_WORDS, size) if not items.where(F.size(template(text_or_empty())) == n).isEmpty()]
-    hits = matches(df, items, size, None, text)
+    hits = matches(df, items, size, None, text).withColumn("size", F.lit(size))
     for n in short:
-        hits = hits.unionByName(matches(df, items, n, n, text))
-    lines = hits.groupBy("doc_id", "__alt", "item_id", "diagonal").agg(
-        F.first("n_windows").alias("n_windows"), F.count_distinct("ipos").alias("matched"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
+        hits = hits.unionByName(matches(df, items, n, n, text).withColumn("size", F.lit(n)))
+    found = clusters(runs(hits, size, long_run))
+    found = found.where(F.col("long") | (F.col("words") >= coverage * F.col("n_words")))
+    values = F.col("pairs")
+    best = found.groupBy("doc_id", "__alt", "item_id").agg(
+        F.max_by(
+            F.struct("n_windows", "matched", (F.col("words") / F.col("n_words")).alias("coverage"), F.size(values).alias("n_slots"), F.size(F.filter(values, lambda p: p["item"] != p["doc"])).alias("n_changed"), "run_words"),
+            F.struct("words", "run_words", "matched", -F.col("dstart")),
+        ).alias("b")
     )
-    lines = lines.where(F.col("matched") >= coverage * F.col("n_windows"))
-    lines = lines.withColumn("__values", F.array_distinct(F.transform("pairs", lambda p: p["item"]))).where(F.size("__values") == F.size("pairs"))
-    best = lines.groupBy("doc_id", "__alt", "item_id").agg(F.max_by(F.struct("n_windows", "matched", F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("n_changed")), F.struct("matched", -F.col("diagonal"))).alias("b"))
-    return best.select("doc_id", "__alt", "item_id", F.col("b.n_windows").cast("long").alias("n_windows"), F.col("b.matched").cast("long").alias("matched"), (F.col("b.matched") / F.col("b.n_windows")).alias("coverage"), F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.n_changed").cast("long").alias("n_changed"))
+    counts = [F.col(f"b.{c}").cast("double" if c == "coverage" else "long").alias(c) for c in ("n_windows", "matched", "coverage", "n_slots", "n_changed", "run_words")]
+    return best.select("doc_id", "__alt", "item_id", *counts)
+
+
+def runs(hits: DataFrame, size: int, long_run: int) -> DataFrame:
+    """Runs of windows on one diagonal with consistent values: first and last window, slots, ``long``."""
+    line = ["doc_id", "__alt", "item_id", "diagonal"]
+    along = Window.partitionBy(*line).orderBy("ipos", "same")
+    hits = hits.withColumn("same", ~F.exists(F.coalesce("pairs", F.array().cast(hits.schema["pairs"].dataType)), lambda p: ~p["item"].eqNullSafe(p["doc"])))
+    apart = F.coalesce(F.col("ipos") - F.lag("ipos").over(along) > 1, F.lit(True))
+    turns = apart | (F.col("same") != F.lag("same").over(along))
+    hits = hits.withColumns({"__apart": apart.cast("int"), "__turns": turns.cast("int")})
+    hits = hits.withColumns({"run": F.sum("__apart").over(along), "stretch": F.sum("__turns").over(along)})
+    pieces = hits.groupBy(*line, "run", "stretch", "same", "n_windows", "size").agg(F.min("ipos").alias("first"), F.max("ipos").alias("last"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    copied = F.max(F.when(F.col("same"), F.struct((F.col("last") - F.col("first")).alias("n"), F.col("first"), F.col("last"), F.col("pairs")))).alias("copied")
+    out = pieces.groupBy(*line, "run", "n_windows", "size").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), copied)
+    changed = F.size(F.filter("pairs", lambda p: ~p["item"].eqNullSafe(p["doc"])))
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
+    words = F.col("last") - F.col("first") + F.col("size")
+    long_copy = F.coalesce(F.col("copied.n") + F.col("size") >= long_run, F.lit(False))
+    out = out.withColumns({"__ok": consistent, "long": F.when(consistent, (words >= long_run) & (words - changed >= size)).otherwise(False) | long_copy}).where(F.col("__ok") | F.col("long"))
+    # of a run with contradicting values only the copied stretch counts
+    part = {c: F.when(F.col("__ok"), F.col(c)).otherwise(F.col(f"copied.{c}")) for c in ("first", "last", "pairs")}
+    return out.withColumns(part).drop("run", "copied", "__ok")
+
+
+def clusters(found: DataFrame) -> DataFrame:
+    """Runs of an item that are near each other in the document, added up: windows and words counted once."""
+    key = ["doc_id", "__alt", "item_id"]
+    shift = F.col("diagonal")
+    found = found.withColumns({"n_words": F.col("n_windows") + F.col("size") - 1, "run_words": F.col("last") - F.col("first") + F.col("size"), "dstart": F.col("first") + shift, "dend": F.col("last") + shift + F.col("size")})
+    order = Window.partitionBy(*key).orderBy("dstart", "dend", "first")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("__past", F.max("dend").over(before))
+    found = found.withColumn("__far", F.coalesce(F.col("dstart") - F.col("__past") > F.col("n_words"), F.lit(True)).cast("int"))
+    found = found.withColumn("cluster", F.sum("__far").over(order))
+    found = found.withColumn("__dnew", F.greatest(F.lit(0), F.col("dend") - F.greatest("dstart", F.coalesce("__past", "dstart"))))
+    inside = Window.partitionBy(*key, "cluster").orderBy("first", "last", "dstart").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("__seen", F.coalesce(F.max("last").over(inside), F.lit(-(1 << 30))))
+    # windows first..last hold the words first..last + size - 1
+    found = found.withColumn("__inew", F.greatest(F.lit(0), F.col("last") + F.col("size") - F.greatest("first", F.col("__seen") + F.col("size"))))
+    found = found.withColumn("__wnew", F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, F.col("__seen"))))
+    return found.groupBy(*key, "cluster", "n_windows", "n_words").agg(
+        F.least(F.sum("__inew"), F.sum("__dnew")).alias("words"), F.sum("__wnew").alias("matched"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.bool_or("long").alias("long"), F.max("run_words").alias("run_words"), F.min("dstart").alias("dstart"),
+    )
 
 
 def decontaminate(df: DataFrame, items: DataFrame, **limits: float) -> DataFrame:

@@ -301,6 +301,24 @@ def test_decontamination(spark):
     assert decontamination.contaminated(df.limit(0), items).count() == 0 and decontamination.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_and_partial_copies(spark):
+    words = "when seven grey herons cross this narrow river before dawn their keeper counts every feather left behind and writes the sum upon old walls".split()
+    long_item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(600)]
+    names = "after lunch Anna meets Anna while the slow train leaves for the coast with all of its empty wagons behind it"
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(long_item)), (3, "ha " * 40), (4, names)], "item_id long, text string")
+    filler = "the quiet lanterns walk under the seven stones of morning while the market sleeps " * 3
+    middle = len(words) // 2
+    texts = [
+        words[:middle] + ["oddly"] + words[middle:], words[:middle] + words[middle + 1 :], words[:middle] + ["oddly"] + words[middle + 1 :],
+        words[:middle], long_item[100:120], long_item[100:110], words[:8], ["ha"] * 9,
+        words[:8] + [filler * 10] + words[-8:], words[:10] + [filler] * 0 + ["so", "it", "goes"] + words[10:],
+        names.replace("Anna", "Boris", 1).replace("Anna", "Clara", 1).split(),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(table(spark, [filler + " ".join(t) + " " + filler for t in texts]), items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (9, 1), (10, 4)}
+    assert got[0, 1].coverage == 1 and got[2, 1].coverage < 1 and got[4, 2].run_words == 20 and got[10, 4].n_changed == 0
+
+
 # -- 4 ----------------------------------------------------------------------------
 
 
