@@ -196,6 +196,13 @@ def _(spark, d):
     return G.components(a, G.grid_edges(a, 8))
 
 
+#: The whole raster; recursive SQL is too slow for that, so a union-find tests it.
+@query("connected_components_whole")
+def _(spark, d):
+    a = cut_raster(spark, d)
+    return G.components(a, G.grid_edges(a, 8))
+
+
 @query("largest_component", f"WITH {X.RASTER_SQL} SELECT cell FROM raster WHERE size IS NOT NULL AND col < 37")
 def _(spark, d):
     a = cut_raster(spark, d)

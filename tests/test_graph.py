@@ -1,5 +1,7 @@
 """Tiled elimination, conjugate gradients and components as DataFrame programs, against numpy."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +49,28 @@ def test_components_and_errors(spark):
         G.grid_edges(a, 6)
     empty = a.where("false")
     assert G.components(empty, G.grid_edges(empty, 8)).count() == 0
+
+
+def test_components_of_the_whole_raster(spark):
+    from ohmgrid.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    parts = [r.p_partkey for r in spark.read.parquet(f"{data}/part.parquet").select("p_partkey").collect()]
+    root = {c: c for c in parts if c % 17 and c % 40 != 37}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for c in root:
+        for down, right in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            near = c + 40 * down + right
+            if near in root and near // 40 == c // 40 + down:
+                low, high = sorted((find(c), find(near)))
+                root[high] = low
+    got = [(r.cell, r.comp) for r in QUERIES["connected_components_whole"](spark, data).collect()]
+    assert len(got) == len(root) > 1500 and dict(got) == {c: find(c) for c in root}
