@@ -1,24 +1,20 @@
 """URL filters from association rules (operator 4).
 
-FP-growth mines combinations of URL tokens that go with a bad label; rules that
-pass the support and confidence limits are matched through an inverted index.
-Explicit allow and block rules come first. DataFrame functions and Spark's own
-FP-growth only.
+Combinations of URL tokens that go with a bad label are counted level by level;
+rules that pass the support and confidence limits are matched through an
+inverted index. Explicit allow and block rules come first. DataFrame functions
+only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER, once, table, written
 
-BAD = "label=bad"
-GOOD = "label=good"
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -71,7 +67,7 @@ def explicit(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host, site, the host's other words, first path pieces, query keys.
+    """Distinct tokens of a URL: scheme, host, site, words of all the host's labels but the last, path pieces, query keys and arguments.
 
     Digits count by their number only, so that ids of pages do not each make a
     token. The host's last two labels are its site.
@@ -81,31 +77,51 @@ def url_tokens(url: Column) -> Column:
     scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     shape = lambda x: F.regexp_replace(F.lower(x), r"[0-9]+", "9")
-    words = F.transform(F.split(F.regexp_replace(host, r"\.?[^.]*\.[^.]*$", ""), r"[^a-z0-9]+", -1), lambda x: F.concat(F.lit("word="), x))
-    parts = F.transform(F.slice(F.split(path, r"/+", -1), 2, 2), lambda x: F.concat(F.lit("path="), shape(x)))
+    words = F.transform(F.split(F.regexp_replace(host, r"\.?[^.]*$", ""), r"[^a-z0-9]+", -1), lambda x: F.concat(F.lit("word="), x))
+    parts = F.transform(F.split(path, r"/+", -1), lambda x: F.concat(F.lit("path="), shape(x)))
     keys = F.transform(F.regexp_extract_all(query, F.lit(r"([^=&]+)=?[^&]*"), F.lit(1)), lambda x: F.concat(F.lit("key="), F.lower(x)))
+    args = F.transform(F.regexp_extract_all(query, F.lit(r"([^=&]+=[^&]+)"), F.lit(1)), lambda x: F.concat(F.lit("arg="), shape(x)))
     single = F.array(F.concat(F.lit("scheme="), F.lower(scheme)), F.concat(F.lit("host="), host), F.concat(F.lit("site="), F.regexp_extract(host, r"[^.]*\.[^.]*$", 0)))
-    return F.filter(F.array_distinct(F.concat(single, words, parts, keys)), lambda x: ~x.rlike(r"^[a-z]+=$"))
+    return F.filter(F.array_distinct(F.concat(single, words, parts, keys, args)), lambda x: ~x.rlike(r"^[a-z]+=$"))
+
+
+def combinations(tokens: Column, size: int) -> Column:
+    """All ascending arrays of ``size`` tokens of a sorted array of distinct ones."""
+    out = F.transform(tokens, lambda x: F.array(x))
+    for _ in range(size - 1):
+        out = F.flatten(F.transform(out, lambda c: F.transform(F.filter(tokens, lambda y: y > F.element_at(c, -1)), lambda y: F.array_append(c, y))))
+    return out
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.003, confidence: float = 0.5, lift: float = 1.5, items: int = 3, least: int = 20) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, support: float = 0.0, confidence: float = 0.5, lift: float = 1.5, items: int = 3, least: int = 20) -> DataFrame:
     """Rules (antecedent array, confidence, support, lift) for a bad label.
 
     ``pages``: page_id, url; ``labels``: doc_id (the page's id), quality, toxic.
-    Bad is quality 0 or toxic 1; a page with null in both has no label. Rules
-    whose antecedent has more than ``items`` tokens are dropped. A combination
-    needs the share ``support`` of the labelled pages and ``least`` of them. No
-    labels or no tokens give no rules.
+    Bad is quality 0 or toxic 1; a page with null in both has no label. An
+    antecedent has at most ``items`` tokens and holds for ``least`` bad pages at
+    least, however many pages are labelled; ``support`` can ask for a share of
+    the labelled pages besides. Every such combination is counted: a page's
+    combinations of tokens that reach that number by themselves. No labels or
+    no tokens give no rules.
     """
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.col("quality") == 0, F.col("toxic") == 1)
     known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).where("bad is not null and page_id is not null")
     known = known.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    rows = pages.select("page_id", "url").join(known, "page_id").select(F.array_append(url_tokens(F.col("url")), F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items"))
+    rows = pages.select("page_id", "url").join(known, "page_id").select(F.monotonically_increasing_id().alias("row"), url_tokens(F.col("url")).alias("tokens"), F.col("bad").cast("int").alias("bad"))
     rows = written(rows, "url-baskets")
-    n = rows.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(n, 1))), minConfidence=confidence).fit(rows)
-    found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") >= lift) & (F.size("antecedent") <= items))
-    return written(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift").distinct(), "url-rules")
+    n, n_bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    needed = max(least, support * n, 1)
+    single = rows.where("bad = 1").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= needed).select("token")
+    frequent = rows.select("row", "bad", F.explode("tokens").alias("token")).join(single, "token").groupBy("row", "bad").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    frequent = written(frequent, "url-frequent")
+    found = None
+    for size in range(1, items + 1):
+        sets = frequent.select("bad", F.explode(combinations(F.col("tokens"), size)).alias("antecedent"))
+        counts = sets.groupBy("antecedent").agg(F.sum("bad").alias("both"), F.count("*").alias("n")).where(F.col("both") >= needed)
+        found = counts if found is None else found.unionByName(counts)
+    sure = F.col("both") / F.col("n")
+    found = found.select("antecedent", sure.alias("confidence"), (F.col("both") / F.lit(max(n, 1))).alias("support"), (sure * n / F.lit(max(n_bad, 1))).alias("lift"))
+    return written(found.where((F.col("confidence") >= confidence) & (F.col("lift") >= lift)), "url-rules")
 
 
 def blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -461,3 +461,18 @@ def test_tiers():
     assert store.plan([shard(1, 600), shard(2, 700)], all=True) == []
     for r in store.plan([shard(i, 120) for i in range(40)]):
         assert 1 < len(r) and sum(s.bytes for s in r) <= 1000
+
+
+def test_url_rules_of_deep_paths_and_site_words(spark):
+    urls = [f"http://h{i % 9}.org/en/2024/{'casino' if i < 30 else 'garden'}/x" for i in range(60)]
+    urls += [f"http://{'casino-win' if i < 30 else 'tea-time'}.com/{i % 4}" for i in range(60)]
+    urls += [f"http://shop.net/a?sort={'spam' if i < 30 else 'date'}" for i in range(60)]
+    urls += [f"http://f{i}.info/de" for i in range(11000)]
+    bad = [i < 180 and i % 60 < 30 for i in range(len(urls))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    found = {tuple(r.antecedent): r for r in url_filters.mine(pages, labels, least=30).collect()}
+    assert {("path=casino",), ("word=casino",), ("arg=sort=spam",)} <= set(found) and max(map(len, found)) == 3
+    assert found["path=casino",].confidence == 1 and abs(found["path=casino",].support - 30 / len(urls)) < 1e-12
+    blocked = {r.page_id for r in url_filters.url_filters(pages, labels, rules=(), confidence=0.9).where("mined_hit").collect()}
+    assert blocked == {i for i, b in enumerate(bad) if b}
