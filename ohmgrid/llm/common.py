@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +22,16 @@ _local: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests,
-    one machine) a temporary folder of this machine is taken.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and all
+    tasks run in this process a temporary folder of this machine is taken; on a
+    cluster an unset folder is an error.
     """
     global _local
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local is None:
         _local = "file://" + tempfile.mkdtemp(prefix="ohmgrid-")
     return _local
@@ -65,6 +72,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, cut so that column ``text`` has about ``most`` bytes in each part.
+
+    A batch is cut by its rows' bytes, so what a task holds at once does not grow
+    with the number of rows of a batch; a longer text is a part of its own.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, forget, written
+from .common import SPACE, documents, forget, slices, written
 
-STEP = 1 << 20
+#: Bytes of text whose words are hashed at once.
+STEP = 1 << 18
 #: Share of the shingle space whose document frequencies are counted.
 SHARE = 0.33
 #: Ids up to which the set of documents to verify is broadcast (8 bytes each); beyond, the join shuffles.
@@ -60,7 +61,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, STEP + (1 << 16))
+            size = max(n, STEP + (1 << 14))
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 a = np.full(size, base, np.uint64)
                 a[0] = 1
@@ -154,7 +155,7 @@ def profiles(df: DataFrame, width: int, share: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.uint64(_cut(share))
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = shingle_sets(_texts(batch.column(1)), width)
             n = [len(s) for s in sets]
             k = [int(np.searchsorted(s, cut)) for s in sets]
@@ -180,7 +181,7 @@ def postings(df: DataFrame, width: int, share: float, percent: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.uint64(_cut(share))
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             best: dict[bytes, int] = {}
             sets = shingle_sets(_texts(batch.column(1)), width)
@@ -265,7 +266,7 @@ def verify(pairs: DataFrame, df: DataFrame, width: int, unique: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, at = np.zeros(0, np.uint64), None
-        for batch in batches:
+        for batch in slices(batches, 4):
             sets = shingle_sets(_texts(batch.column(4)), width)
             b, role, a = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out: list[tuple[int, int, int, int, int]] = []
