@@ -122,7 +122,7 @@ def shingles(text):
 
 def brute(texts):
     sets = [shingles(t) for t in texts]
-    comp = list(range(len(texts)))
+    comp, links = list(range(len(texts))), [0] * len(texts)
 
     def find(x):
         while comp[x] != x:
@@ -135,7 +135,9 @@ def brute(texts):
             if n and 100 * n >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
-    return [(len(s), find(i)) for i, s in enumerate(sets)]
+                links[a] += 1
+                links[b] += 1
+    return [(len(s), find(i), links[i]) for i, s in enumerate(sets)]
 
 
 def corpus(seed, n=160):
@@ -155,10 +157,12 @@ def corpus(seed, n=160):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components(spark, seed):
+def test_jaccard_components(spark, seed, monkeypatch):
+    if seed == 2:  # many blocks in a component
+        monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
     texts = corpus(seed) + ODD
     found, links = jaccard_join.join_components(table(spark, texts, n=1, comp="clash").repartition(5))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found.collect()}
     want = brute(texts)
     assert [got[i] for i in range(len(texts))] == want
     sets = [shingles(t) for t in texts]
@@ -169,13 +173,29 @@ def test_jaccard_components(spark, seed):
 def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (None, "a b c d e f"), (3, None), (4, "x y"), (4, "q r s"), (5, "q r s")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in jaccard_join.join_components(df)[0].collect())
-    assert got == [(-1, None), (1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 4)]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id, r.n_links) for r in jaccard_join.join_components(df)[0].collect())
+    assert got == [(-1, None, None), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 1), (4, 4, 1), (5, 4, 1)]
     assert jaccard_join.join_components(df.limit(0))[0].count() == 0
     kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in jaccard_join.keep_one(df.withColumn("rep", F.lit(1))).select("doc_id", "text").fillna("").collect())
     assert kept == [(-1, "a b c d e f"), (1, "a b c d e f"), (3, ""), (4, "q r s")]
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_links_from_differences(same):
+    rng = np.random.default_rng(8)
+    hub = np.arange(100, dtype=np.uint64)
+    def some():
+        return [set(rng.choice(hub, rng.integers(60, 101), replace=False).tolist()) | set(rng.integers(200, 240, rng.integers(0, 20)).tolist()) for _ in range(40)]
+    a = some()
+    b = a if same else some()
+    sides = [[np.array(sorted(s ^ set(hub.tolist())), np.uint64) for s in side] for side in (a, b)]
+    lost = [[len(set(hub.tolist()) - s) for s in side] for side in (a, b)]
+    weight = [rng.integers(1, 5, 40) for _ in range(2)] if not same else [np.arange(1, 41)] * 2
+    x, y = jaccard_join.block_links(tuple([len(s) for s in side] for side in (a, b)), tuple(lost), tuple(sides), tuple(weight), 100, 80, same)
+    link = np.array([[100 * len(p & q) >= 80 * len(p | q) and not (same and i == j) for j, q in enumerate(b)] for i, p in enumerate(a)])
+    assert x.tolist() == (link @ weight[1]).tolist() and y.tolist() == (weight[0] @ link).tolist() and link.any()
+
+
 def test_long_text_is_cut_between_words():
     words = [f"w{k}" for k in range(400_000)]
     h, n = jaccard_join.word_hashes([" ".join(words).encode(), b"w7 W7"])
