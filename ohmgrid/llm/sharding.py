@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import documents, filesystem, scratch, text_or_empty
 
-ARRIVAL = "__arrival"
-
 
 @dataclass(frozen=True)
 class Shard:
@@ -29,6 +29,24 @@ class Shard:
     tier: int
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """The shards of a version, and all columns that any of them has had."""
+
+    shards: tuple[Shard, ...] = ()
+    schema: StructType = StructType()
+
+
+def merged(old: StructType, new: StructType) -> StructType:
+    """Columns of both, in the order of their first arrival; all may be null. A type that changes is refused."""
+    fields = {f.name: f for f in old.fields}
+    for f in new.fields:
+        if f.name in fields and fields[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+        fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+    return StructType(list(fields.values()))
+
+
 class Conflict(RuntimeError):
     """Another writer has committed the version first."""
 
@@ -40,6 +58,11 @@ class ShardStore:
     how many times larger the shards of the next tier are, and how many shards
     of a tier are needed before it is merged (a final ``compact(all=True)`` also
     merges fewer). ``wave``: runs that one Spark job merges.
+
+    The manifest has the columns of every arrival: a shard that lacks one gives
+    null there, before and after a merge. Rows are kept as they are: nulls,
+    repeated rows and texts of any length take no special way, and order does
+    not matter. A column may have any name that Parquet takes.
     """
 
     def __init__(self, spark: SparkSession, root: str, target: int = 128 << 20, fanout: int = 4, smallest: int = 1 << 20, wave: int = 256):
@@ -60,20 +83,25 @@ class ShardStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/manifest"))]
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def manifest(self, version: int | None = None) -> list[Shard]:
-        """The shards of a version (default: the latest); version 0 has none."""
+    def state(self, version: int | None = None) -> Manifest:
+        """A version (default: the latest); version 0 is empty."""
         version = self.version() if version is None else version
         if version == 0:
-            return []
+            return Manifest()
         stream = self.fs.open(self._path(f"{self.root}/manifest/v{version:012d}.json"))
         try:
             raw = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(raw)["shards"]]
+        found = json.loads(raw)
+        return Manifest(tuple(Shard(**x) for x in found["shards"]), StructType.fromJson(found["schema"]))
+
+    def manifest(self, version: int | None = None) -> list[Shard]:
+        """The shards of a version (default: the latest)."""
+        return list(self.state(version).shards)
 
-    def commit(self, based_on: int, shards: list[Shard]) -> int:
-        """Make ``shards`` the version after ``based_on``, or raise ``Conflict``.
+    def commit(self, based_on: int, state: Manifest) -> int:
+        """Make ``state`` the version after ``based_on``, or raise ``Conflict``.
 
         The file is written under another name and renamed; the rename refuses
         an existing version.
@@ -82,7 +110,7 @@ class ShardStore:
         final = self._path(f"{self.root}/manifest/v{new:012d}.json")
         temp = self._path(f"{self.root}/manifest/.{new}-{jvm.java.util.UUID.randomUUID()}")
         out = self.fs.create(temp, False)
-        out.write(bytearray(json.dumps({"version": new, "shards": [asdict(s) for s in shards]}).encode()))
+        out.write(bytearray(json.dumps({"version": new, "shards": [asdict(s) for s in state.shards], "schema": state.schema.jsonValue()}).encode()))
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
         kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -106,23 +134,29 @@ class ShardStore:
         """Write the rows of ``df`` as small shards and commit them; returns the version.
 
         Every task writes its rows where it is, one shard per task (and per value
-        of the column ``arrivals``, each value a commit of its own). No rows: a
-        version with the same shards.
+        of the column ``arrivals``, null among them, each value a commit of its
+        own). No rows: a version with the same shards and the columns of ``df``.
+        A column of the type that another arrival does not have raises
+        ``ValueError`` before anything is committed.
         """
+        merged(self.state().schema, df.schema)
         where = f"{self.root}/data/a-{self.spark._jvm.java.util.UUID.randomUUID()}"
-        writer = df.withColumn(ARRIVAL, F.col(arrivals) if arrivals else F.lit(0))
-        writer.write.partitionBy(ARRIVAL).option("compression", "zstd").parquet(where)
+        apart = "__arrival"
+        while apart in df.columns:
+            apart += "_"
+        writer = df.withColumn(apart, F.col(f"`{arrivals}`") if arrivals else F.lit(0))
+        writer.write.partitionBy(apart).option("compression", "zstd").parquet(where)
         version = self.version()
         parts = sorted(s.getPath().toString() for s in self.fs.listStatus(self._path(where)) if s.isDirectory())
         for part in parts or [None]:
-            new = [Shard(p, n, self.tier(n)) for p, n in self._files(part)] if part else []
-            version = self._retry(version, lambda old, new=new: old + new)
+            new = tuple(Shard(p, n, self.tier(n)) for p, n in self._files(part)) if part else ()
+            version = self._retry(version, lambda old, new=new: Manifest(old.shards + new, merged(old.schema, df.schema)))
         return version
 
     def _retry(self, version: int, change) -> int:
         for _ in range(20):
             try:
-                return self.commit(version, change(self.manifest(version)))
+                return self.commit(version, change(self.state(version)))
             except Conflict:
                 version = self.version()
         raise Conflict("too many concurrent commits")
@@ -161,45 +195,50 @@ class ShardStore:
 
     def compact(self, all: bool = False) -> int:
         """Merge until no tier has a run left; returns the version. Replaced files stay until ``vacuum``."""
-        while runs := self.plan(self.manifest(), all):
+        while runs := self.plan((state := self.state()).shards, all):
             for at in range(0, len(runs), self.wave):
                 wave = runs[at : at + self.wave]
                 where = f"{self.root}/data/m-{self.spark._jvm.java.util.UUID.randomUUID()}"
-                frames = [self.spark.read.schema(self._schema(r[0])).parquet(*[s.path for s in r]).coalesce(1) for r in wave]
-                merged = frames[0]
+                frames = [self._rows(state.schema, r).coalesce(1) for r in wave]
+                rows = frames[0]
                 for f in frames[1:]:
-                    merged = merged.unionByName(f, allowMissingColumns=True)
-                merged.write.option("compression", "zstd").parquet(where)
+                    rows = rows.unionByName(f)
+                rows.write.option("compression", "zstd").parquet(where)
                 gone = {s.path for r in wave for s in r}
                 # the tier after a merge is above that of its parts, so a run is merged log(target) times at most
                 floor = 1 + max(s.tier for r in wave for s in r)
-                new = [Shard(p, n, max(floor, self.tier(n))) for p, n in self._files(where)]
+                new = tuple(Shard(p, n, max(floor, self.tier(n))) for p, n in self._files(where))
 
-                def change(old: list[Shard], gone=gone, new=new) -> list[Shard]:
-                    if not gone <= {s.path for s in old}:
+                def change(old: Manifest, gone=gone, new=new) -> Manifest:
+                    if not gone <= {s.path for s in old.shards}:
                         raise RuntimeError("a shard of the run has been replaced by another writer")
-                    return [s for s in old if s.path not in gone] + new
+                    return Manifest(tuple(s for s in old.shards if s.path not in gone) + new, old.schema)
 
                 self._retry(self.version(), change)
         return self.version()
 
-    def _schema(self, shard: Shard):
-        return self.spark.read.parquet(shard.path).schema
+    def _rows(self, schema: StructType, shards: list[Shard]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[s.path for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        shards = self.manifest(version)
-        if not shards:
-            raise ValueError("the store has no shards")
-        return self.spark.read.parquet(*[s.path for s in shards])
-
-    def vacuum(self) -> int:
-        """Delete data files that the latest version doesn't name; returns how many."""
-        named = {self._path(s.path).toUri().getPath() for s in self.manifest()}
-        n, todo = 0, self.fs.listFiles(self._path(f"{self.root}/data"), True)
+        """The rows of a version with all its columns; a version without shards has no rows."""
+        state = self.state(version)
+        return self._rows(state.schema, list(state.shards)) if state.shards else self.spark.createDataFrame([], state.schema)
+
+    def vacuum(self, keep: int = 2, age: float = 86_400.0) -> int:
+        """Delete data files that none of the latest ``keep`` versions names and that are ``age`` seconds old; returns how many.
+
+        A writer's files are there before its commit and readers hold on to a
+        version for a while, so ``age`` must be longer than either takes.
+        """
+        last = self.version()
+        named = {self._path(s.path).toUri().getPath() for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)}
+        n, todo, before = 0, self.fs.listFiles(self._path(f"{self.root}/data"), True), (time.time() - age) * 1000
         old = []
         while todo.hasNext():
-            p = todo.next().getPath()
-            if p.getName().endswith(".parquet") and p.toUri().getPath() not in named:
+            f = todo.next()
+            p = f.getPath()
+            if p.getName().endswith(".parquet") and p.toUri().getPath() not in named and f.getModificationTime() <= before:
                 old.append(p)
         for p in old:
             n += bool(self.fs.delete(p, False))
@@ -207,12 +246,14 @@ class ShardStore:
 
 
 def shard(df: DataFrame, root: str, arrivals: str, **sizes: int) -> ShardStore:
-    """Append the arrivals of ``df``, compact everything and drop what was replaced."""
+    """Append the arrivals of ``df`` and compact everything; an empty ``df`` gives a version without rows.
+
+    Replaced files stay until ``vacuum``.
+    """
     store = ShardStore(df.sparkSession, root, **sizes)
     store.append(df, arrivals)
     store.compact()
     store.compact(all=True)
-    store.vacuum()
     return store
 
 
@@ -220,6 +261,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read back from the committed shards, with their arrival and a digest of the text."""
     docs = documents(spark, sf_dir).withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(0)).cast("int"))
     store = shard(docs, scratch(spark, "shards"), "arrival")
+    store.vacuum(keep=1, age=0.0)  # nobody else knows this store yet
     return store.read().select("doc_id", "arrival", "lang", "source", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.md5(text_or_empty()).alias("text_md5"))
 
 

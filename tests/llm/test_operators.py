@@ -465,13 +465,38 @@ def test_sharding_round_trip(spark):
     store.compact(all=True)
     assert sorted(store.read().select(*df.columns).collect(), key=str) == sorted(df.collect(), key=str)
     assert sorted(store.read(first).select(*df.columns).collect(), key=str) == sorted(df.collect(), key=str)  # an old version stays readable
-    assert len(store.manifest()) < len(old) and store.vacuum() > 0
+    assert len(store.manifest()) < len(old) and store.vacuum() == 0 and store.vacuum(keep=99, age=0) == 0 and store.vacuum(keep=1, age=0) > 0
     assert store.read().count() == df.count()
     with pytest.raises(sharding.Conflict):
-        store.commit(store.version() - 1, [])
+        store.commit(store.version() - 1, sharding.Manifest())
     assert store.append(df.limit(0)) == store.version() and store.read().count() == df.count()
 
 
+def test_shards_with_other_columns(spark):
+    root = scratch(spark, "t")
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, `__arrival` string"), spark.createDataFrame([(0.5, 3), (None, 4)], "`ex tra` double, doc_id long")
+    store = sharding.ShardStore(spark, root)
+    store.append(a)
+    store.append(b.repartition(2))
+    store.compact(all=True)
+    assert len(store.manifest()) == 1 and store.read().columns == ["doc_id", "__arrival", "ex tra"]
+    assert sorted(store.read().collect(), key=str) == [(1, "x", None), (2, None, None), (3, None, 0.5), (4, None, None)]
+    with pytest.raises(ValueError, match="doc_id"):
+        store.append(spark.createDataFrame([("q",)], "doc_id string"))
+    assert store.read().count() == 4
+
+
+def test_empty_shards_and_a_writer_before_its_commit(spark):
+    df = spark.createDataFrame([(1, None, 0), (2, "t", None)], "doc_id long, text string, arrival int")
+    empty = sharding.shard(df.limit(0), scratch(spark, "t"), "arrival")
+    assert empty.read().count() == 0 and empty.read().schema == df.schema
+    store = sharding.shard(df, scratch(spark, "t"), "arrival")
+    assert sorted(store.read().collect(), key=str) == sorted(df.collect(), key=str)
+    df.write.parquet(f"{store.root}/data/a-other")  # of a writer that has not committed
+    store.vacuum()
+    assert spark.read.parquet(f"{store.root}/data/a-other").count() == 2
+
+
 def test_tiers():
     store = sharding.ShardStore.__new__(sharding.ShardStore)
     store.target, store.fanout, store.smallest = 1000, 4, 10
