@@ -414,15 +414,37 @@ def test_language(spark):
     for b, n in want.items():
         p[b] += n
     assert np.allclose(model.logp[k], np.log(p / p.sum()), atol=1e-4)
+    # every prediction, text by text
+    def plain(t):
+        if t is None or not any(c.isalpha() for c in t):
+            return "und", 0.0
+        x = model.blocks[0][1] + sum(model.logp.astype(float)[:, h].sum(axis=1) for h in language_id.grams(t))
+        return model.langs[int(x.argmax())], 1 / np.exp(x - x.max()).sum()
+    for r in [*rows, *odd.collect()]:
+        assert got[r[0]].lang_pred == plain(r[1])[0] and np.isclose(got[r[0]].score, plain(r[1])[1])
     none = language_id.train(df.limit(0))
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def test_more_languages_than_a_matrix_holds(spark, monkeypatch):
+    rng = random.Random(18)
+    rows = [(i, "".join(rng.choice("abcdefgh"[k % 6 : k % 6 + 3]) for _ in range(40)), f"l{k}") for i in range(150) for k in [rng.randrange(9)]]
+    df = spark.createDataFrame([*rows, (900, "12", None)], "doc_id long, text string, lang string")
+    one = {r.doc_id: r for r in language_id.predict(df, language_id.train(df)).collect()}
+    monkeypatch.setattr(language_id, "BLOCK", 4)
+    model = language_id.train(df)
+    many = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    assert len(model.blocks) == 3 and one.keys() == many.keys()
+    assert all(one[i].lang_pred == many[i].lang_pred and np.isclose(one[i].score, many[i].score) for i in one) and many[900].lang_pred == "und"
+
+
 def test_ngrams_across_steps(monkeypatch):
     text = "abcdefghij" * 30
+    before = language_id.sparse([text, None, "b", text])
     whole = Counter(int(x) for h in language_id.grams(text) for x in h)
     monkeypatch.setattr(language_id, "STEP", 17)
     assert Counter(int(x) for h in language_id.grams(text) for x in h) == whole
+    assert all((x == y).all() for x, y in zip(before, language_id.sparse([text, None, "b", text]), strict=True))
 
 
 # -- 1 ----------------------------------------------------------------------------
