@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, slices, table
 
 BUCKETS = 1 << 17
 #: Labelled rows that the fit takes at most (by hash order of the id).
 MOST_ROWS = 8_000
-#: Training texts contribute at most this many distinct features each; the largest counts win.
-MOST_FEATURES = 2_000
 _word = re.compile(r"\S+")
-_bare = re.compile(r"[^\W_]+").search
+_runs = re.compile(r"[^\W_]+")
 #: Starts of longer words that are features as well, so that inflected forms share weights.
 STARTS = (5, 7)
 _hash: dict[str, tuple[int, ...]] = {}
@@ -36,11 +34,9 @@ def _bucket(token: str) -> int:
 
 
 def _tokens(word: str) -> tuple[int, ...]:
-    """Buckets of a word, lower-cased and without signs around it, and of its starts."""
+    """Buckets of a word's runs of letters and digits, lower-cased, and of their starts; of the whole word where it has none."""
     if (h := _hash.get(word)) is None:
-        bare = _bare(word)
-        w = bare[0].lower() if bare else word[:8]
-        h = (_bucket(w), *(_bucket(f"{w[:n]}-") for n in STARTS if len(w) > n))
+        h = tuple(x for w in [r.lower() for r in _runs.findall(word)] or [word] for x in (_bucket(w), *(_bucket(f"{w[:n]}-") for n in STARTS if len(w) > n)))
         if len(_hash) > 300_000:
             _hash.clear()
         if len(word) < 100:
@@ -53,7 +49,7 @@ def shape(words: list[str]) -> list[tuple[int, float]]:
     n = len(words)
     upper = sum(map(str.isupper, words)) / n
     signs = sum(1 for w in words if not w[-1].isalnum() and w[-1] not in ".,;:?)\"'") / n
-    bare = sum(1 for w in words if not _bare(w)) / n
+    bare = sum(1 for w in words if not _runs.search(w)) / n
     same = sum(map(str.__eq__, words, words[1:])) / n
     distinct = len(set(words)) / n
     return [(0, 1.0), (1, min(1.0, 2 * upper)), (2, min(1.0, 2 * signs)), (3, min(1.0, 4 * bare)), (4, min(1.0, 2 * same)), (5, 1 - distinct), (6 + min(9, n.bit_length()), 1.0)]
@@ -141,20 +137,20 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most_rows: int = MOST_ROWS) -> Model:
     """Fit on at most ``most_rows`` rated documents, those with the smallest hash of the id.
 
-    ``ratings``: doc_id, grade (0 to ``levels`` - 1). Only their hashed features
-    (at most ``MOST_FEATURES`` each) reach the driver, never texts.
+    ``ratings``: doc_id, grade (0 to ``levels`` - 1); others, null ones too, are
+    left out. Only their hashed features reach the driver, never texts: all
+    features of whole texts, at most one for each of the ``BUCKETS``, 12 bytes
+    each. A null text has the features of an empty one, rows that repeat count
+    each, and no rated rows give a model for which all grades are equally likely.
     """
     chosen = ratings.where(F.col("grade").between(0, levels - 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, values = [], []
             for t in batch.column(1):
                 i, v = vector(t.as_py())
-                if len(i) > MOST_FEATURES:
-                    top = np.argsort(-v, kind="stable")[:MOST_FEATURES]
-                    i, v = i[top], v[top]
                 ids.append(i.astype(np.int32).tobytes())
                 values.append(v.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["grade", "ids", "values"])
@@ -168,16 +164,18 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, most_rows: int =
 def score(df: DataFrame, model: Model, tail: float = 0.5, text: str = "text") -> DataFrame:
     """``df`` without its text, with expected_grade, tail_probability and selected.
 
-    ``selected``: the probability of the highest grade is at least ``tail``. A
-    null or empty text has the features of an empty one. Every row gives one
-    row; a column of ``df`` named as an output is replaced.
+    ``selected``: the probability of the highest grade is at least ``tail``, so
+    one of just ``tail`` is taken. A null or empty text has the features of an
+    empty one, and a very long one all its own. Every row gives one row, rows
+    that repeat the same one, and an empty table none; a column of ``df`` named
+    as an output is replaced.
     """
     made = ("expected_grade", "tail_probability", "selected")
     others = [c for c in df.columns if c != text and c not in made]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             p = np.array([shared.value.above(t.as_py()) for t in batch.column(0)]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= tail)], names=[*others, *made])
 

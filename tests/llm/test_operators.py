@@ -450,6 +450,56 @@ def test_ngrams_across_steps(monkeypatch):
 # -- 1 ----------------------------------------------------------------------------
 
 
+def plain_features(text):
+    """Bucket and value of each feature, by plain loops."""
+    words = re.findall(r"\S+", text or "")
+    if not words:
+        return {0: 1.0, 16: 1.0}
+    bucket = lambda w: zlib.crc32(w.encode()) % (quality_classifier.BUCKETS - 64) + 64
+    found = Counter()
+    for word in words:
+        for run in re.findall(r"[^\W_]+", word) or [word]:
+            run = run.lower() if run != word or re.search(r"[^\W_]", word) else run
+            found[bucket(run)] += 1
+            for n in quality_classifier.STARTS:
+                if len(run) > n:
+                    found[bucket(run[:n] + "-")] += 1
+    out = {b: 0.5 * (1 + np.log(n)) for b, n in found.items()}
+    return out | {b: 4 * v for b, v in quality_classifier.shape(words)}
+
+
+@pytest.mark.parametrize("text", ["foo-bar-baz plain", "a/b it's, _x_ ###!!!???### foo-zzz", "Inflected INFLECTING " * 3, "word" * 50 + " x " + " ".join(f"w{k}" for k in range(5000))])
+def test_features_of_whole_words(text):
+    ids, values = quality_classifier.vector(text)
+    got = Counter()
+    for i, v in zip(ids.tolist(), values.tolist(), strict=True):
+        got[i] += v
+    want = plain_features(text)
+    assert got.keys() == want.keys() and all(np.isclose(got[b], want[b]) for b in want)
+
+
+def test_fit_is_at_the_likelihood(spark):
+    rng = np.random.default_rng(12)
+    rows = [(np.array([0, 64 + int(k)]), np.array([1.0, 1.0])) for k in rng.integers(0, 3, 600)]
+    grades = np.array([int(i[1] - 64) if rng.random() < 0.8 else int(rng.integers(0, 3)) for i, _ in rows])
+    model = quality_classifier.fit(rows, grades, 3, steps=3000)
+
+    def loss(w, t):
+        p = np.array([np.concatenate([[1.0], 1 / (1 + np.exp(t - v @ w[i])), [0.0]]) for i, v in rows])
+        return -np.log(p[np.arange(600), grades] - p[np.arange(600), grades + 1]).mean() + 5e-4 * (w**2).sum()
+    best = loss(model.weights, model.thresholds)
+    for b in (64, 65, 66):
+        for step in (-0.3, 0.3):
+            w = model.weights.copy()
+            w[b] += step
+            assert loss(w, model.thresholds) > best - 1e-3
+    for k in (0, 1):
+        for step in (-0.3, 0.3):
+            t = model.thresholds.copy()
+            t[k] += step
+            assert loss(model.weights, t) > best - 1e-3
+
+
 def test_classifier(spark):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(200)]
@@ -470,6 +520,11 @@ def test_classifier(spark):
     assert sum((got[i].expected_grade < 0.7) == (g == 0) for i, g in held) >= 0.9 * len(held)
     assert got[900].expected_grade == got[901].expected_grade
     assert quality_classifier.score(docs.limit(0), model).count() == 0
+    # every probability, from features counted one by one
+    for i, t in [*rows[:40], (900, None)]:
+        x = sum(model.weights[b] * v for b, v in plain_features(t).items())
+        p = 1 / (1 + np.exp(model.thresholds - x))
+        assert np.isclose(got[i].expected_grade, p.sum()) and np.isclose(got[i].tail_probability, p[-1]) and got[i].selected == (p[-1] >= 0.5)
     nothing = quality_classifier.train(docs, ratings.limit(0))
     assert np.isclose(quality_classifier.score(docs.limit(1), nothing).first().expected_grade, 1.0)
 
