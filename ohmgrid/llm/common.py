@@ -52,12 +52,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def using(df: DataFrame, *frames: DataFrame) -> DataFrame:
+    """``df``, which reads ``frames``: ``forget(df)`` forgets them as well."""
+    df._scratch_frames = frames
+    return df
+
+
 def forget(*frames: DataFrame) -> None:
-    """Delete the files behind frames that ``written`` made and nothing reads any more."""
+    """Delete the files behind frames that ``written`` made, or that frames use, and nothing reads any more."""
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
             remove(df.sparkSession, path)
+        forget(*getattr(df, "_scratch_frames", ()))
 
 
 def filesystem(spark: SparkSession, path: str):

@@ -238,7 +238,72 @@ def test_outliers_go_and_clean_stay(spark):
     kept = {r.doc_id for r in quality_rules.keep_good(df).collect()}
     assert kept == set(range(400)) and quality_rules.keep_good(df).columns == df.columns
     single = quality_rules.quality_rules(df.where("doc_id < 5")).collect()
-    assert all(r.kept != r.base_failed for r in single)  # too few rows for an estimate
+    assert all(r.kept != r.base_failed for r in single)
+    alone = df.where("doc_id < 60 or doc_id = 401").withColumn("source", F.when(F.col("doc_id") == 401, "only here").otherwise("s"))
+    assert {r.doc_id for r in quality_rules.keep_good(alone).collect()} == set(range(60))  # judged by its language
+
+
+def plain_mcd(Z, support=0.75):
+    """Location, scatter and determinant of the best of four starts, by plain loops over all rows."""
+    p, floor, scale = 4, np.array(quality_rules.FLOOR), quality_rules.SCALE
+    med, spread = np.median(Z, axis=0), (np.quantile(Z, 0.75, axis=0) - np.quantile(Z, 0.25, axis=0)) / 1.349
+    s = np.sqrt(spread**2 + floor**2)
+    Y = (Z - med) / s
+    length = np.sqrt((Y**2).sum(axis=1, keepdims=True))
+    t = np.round(np.tanh(Y) * scale) / scale
+    u = np.round(np.divide(Y, length, out=np.zeros_like(Y), where=length > 0) * scale) / scale
+    cov = lambda x: x.T @ x / len(x) - np.outer(x.mean(axis=0), x.mean(axis=0))
+    extra = np.diag(floor**2)
+    narrow = support / quality_rules.chi2_cdf(quality_rules.chi2_quantile(support, p), p + 2)
+    found = [(med, np.diag(spread**2)), (Z.mean(axis=0), cov(Z)), (med, np.outer(s, s) * cov(t)), (med, np.outer(s, s) * (u.T @ u) / len(u) * p)]
+    found = [(m, c + extra) for m, c in found]
+    for k, (m, c) in enumerate(found):
+        for step in range(quality_rules.MOST_STEPS):
+            b = np.minimum(np.floor(np.einsum("ij,jk,ik->i", Z - m, np.linalg.inv(c), Z - m) * quality_rules.BIN), quality_rules.LAST)
+            near = Z[b <= np.ceil(np.quantile(b, support))]
+            new = cov(near) * narrow + extra
+            if step and np.linalg.slogdet(new)[1] >= np.linalg.slogdet(c)[1] - quality_rules.STILL:
+                break
+            m, c = near.mean(axis=0), new
+        found[k] = m, c
+    best = min(found, key=lambda x: np.linalg.slogdet(x[1])[1])
+    return len(Z), *best
+
+
+def test_verdicts_equal_plain_estimates(spark):
+    rng = random.Random(15)
+    words = ["the", "river", "stone", "walks", "quiet", "morning", "under", "seven", "lanterns", "and", "of", "market"]
+    rows = []
+    for i in range(700):
+        odd = rng.random()
+        t = [rng.choice(words) + (str(rng.randint(0, 99)) if rng.random() < 0.9 else "") for _ in range(rng.randint(40, 200))]
+        t = [w + "|#%" * rng.randint(0, 3) if odd < 0.08 else w for w in t]
+        t = t + ["\n" + " ".join(t[:20])] * 3 if odd > 0.95 else t
+        rows.append((i, " ".join(t), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None, f"x{i}"]), 0))
+    df = spark.createDataFrame(rows, DOCS)
+    stats = quality_rules.vectors(quality_rules.statistics(df))
+    table_ = {r.doc_id: r for r in stats.collect()}
+    good = [r for r in table_.values() if not r.base_failed]
+    z = {r.doc_id: np.array([r.z0, r.z1, r.z2, r.z3]) / quality_rules.SCALE for r in good}
+    keys = {r.doc_id: [(r.lang, r.source), r.lang, "all"] for r in good}
+    made = {}
+    for level in range(3):
+        by = {}
+        for i, k in keys.items():
+            by.setdefault(k[level], []).append(i)
+        made[level] = {k: plain_mcd(np.array([z[i] for i in ids])) for k, ids in by.items()}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df.repartition(3)).collect()}
+    near = 0
+    for i, k in keys.items():
+        _, m, c = made[2]["all"]
+        for level in (1, 0):
+            n, m1, c1 = made[level][k[level]]
+            m, c = (n * m1 + 20 * m) / (n + 20), (n * c1 + 20 * c) / (n + 20)
+        d = (z[i] - m) @ np.linalg.inv(c) @ (z[i] - m)
+        assert np.isclose(got[i].distance2, d, rtol=1e-6, atol=1e-6), (i, k)
+        near += not got[i].kept
+        assert got[i].kept == (d <= quality_rules.CUTOFF)
+    assert 20 < near < 200
 
 
 # -- 6 ----------------------------------------------------------------------------
