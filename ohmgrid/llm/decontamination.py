@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, once, table, text_or_empty, written
+from .common import documents, forget, once, table, text_or_empty, using, written
 
 #: Placeholders: private-use characters, which are no part of a word otherwise.
 NUMBER, NAME, UNIT = map(chr, range(0xE000, 0xE003))
@@ -22,10 +22,11 @@ UNITS = (
     "day|days|week|weeks|month|months|year|years|dollar|dollars|euro|euros|pound|pounds|usd|eur|percent|degrees|"
     "stunde|stunden|tage|jahre|heures|jours|ans|horas|días|años"
 )
+#: Words of a window, and of an item below which its values must be the same as well.
 WINDOW, LEAST_WORDS = 8, 5
 #: Words of a run that match whatever share of the item they are.
 LONG_RUN = 13
-#: Benchmark windows up to which their table is broadcast (about 100 bytes each); beyond, the join shuffles.
+#: Benchmark windows (about 100 bytes each), or documents with hits, up to which their table is broadcast; beyond, the join shuffles.
 MOST_BROADCAST = 200_000
 
 
@@ -36,9 +37,9 @@ def raw_words(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Words with numbers, names in mid-sentence, and units after a number as placeholders."""
-    t = F.regexp_replace(text, r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", NAME)
+    t = F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}+", NAME)
     t = F.lower(F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*+", NUMBER))
-    t = F.regexp_replace(t, rf"(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
+    t = F.regexp_replace(t, rf"{NUMBER}( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
     return _split(t)
 
 
@@ -65,19 +66,49 @@ def benchmark_windows(items: DataFrame, size: int, only: int | None) -> DataFram
     return rows.select("h", "item_id", "ipos", "n_windows", F.when(F.array_contains(marks, True), F.struct(raw.alias("raw"), marks.alias("marks"))).alias("slots"))
 
 
-def matches(df: DataFrame, items: DataFrame, size: int, only: int | None, text: str) -> DataFrame:
-    bench = written(benchmark_windows(items, size, only), "benchmark-windows")
-    if bench.count() <= MOST_BROADCAST:
-        bench = F.broadcast(bench)
-    docs = df.select("doc_id", F.when(F.col("doc_id").isNull(), F.md5(text_or_empty(text))).alias("__alt"), text_or_empty(text).alias("__text"))
-    docs = docs.withColumn("__t", once(template(F.col("__text")))).withColumn("__h", once(windows(F.col("__t"), size)))
-    hits = docs.select("doc_id", "__alt", "__text", F.posexplode("__h").alias("dpos", "h")).join(bench, "h")
-    own = F.slice(raw_words(F.col("__text")), F.col("dpos") + 1, size)
+def matches(df: DataFrame, items: DataFrame, size: int, text: str) -> DataFrame:
+    """Windows of documents that an item has: doc_id, __alt, item_id, diagonal, ipos, n_windows, size, pairs.
+
+    ``pairs``: values of the window's placeholders, in the item and the document.
+    Items of fewer than ``size`` words have one window, so documents' windows of
+    just those lengths that occur are hashed beside those of ``size``. Only the
+    place and the hash of a window meet the benchmark; the words of documents
+    with hits are read afterwards, once for each document.
+    """
+    lengths = items.where(F.col("item_id").isNotNull()).select(F.size(template(text_or_empty())).alias("n"))
+    short = sorted(r[0] for r in lengths.where((F.col("n") > 0) & (F.col("n") < size)).distinct().collect())
+    bench = benchmark_windows(items, size, None).withColumn("size", F.lit(size))
+    for n in short:
+        bench = bench.unionByName(benchmark_windows(items, n, n).withColumn("size", F.lit(n)))
+    bench = written(bench, "benchmark-windows")
+    small = bench.count() <= MOST_BROADCAST
+    body = text_or_empty(text)
+    ids = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.md5(body)).alias("__alt"), F.xxhash64(body).alias("__text")]
+    docs = df.select(*ids, once(template(body)).alias("__t"))
+
+    def places(n: int) -> Column:
+        return F.transform(windows(F.col("__t"), n), lambda h, i: F.struct(h.alias("h"), i.alias("dpos"), F.lit(n).alias("size")))
+
+    if short:
+        empty = F.array().cast("array<struct<h:bigint,dpos:int,size:int>>")
+        found = docs.select("doc_id", "__alt", "__text", F.explode(once(F.concat(*[F.coalesce(places(n), empty) for n in (size, *short)]))).alias("x")).select("doc_id", "__alt", "__text", "x.*")
+    else:
+        docs = docs.withColumn("__h", once(windows(F.col("__t"), size)))
+        found = docs.select("doc_id", "__alt", "__text", F.posexplode("__h").alias("dpos", "h")).withColumn("size", F.lit(size))
+    hits = written(found.join(F.broadcast(bench) if small else bench, ["h", "size"]).drop("h"), "window-hits")
+    named = written(hits.where("slots is not null").select("doc_id", "__alt", "__text").distinct(), "window-documents")
+    named_ = F.broadcast(named) if named.count() <= MOST_BROADCAST else named
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.__alt").eqNullSafe(F.col(f"{b}.__alt")) & (F.col(f"{a}.__text") == F.col(f"{b}.__text"))
+    words = df.select(*ids, body.alias("body")).alias("d").join(named_.alias("n"), same("d", "n"), "left_semi")
+    words = words.groupBy("doc_id", "__alt", "__text").agg(F.first("body").alias("body")).select("doc_id", "__alt", "__text", once(raw_words(F.col("body"))).alias("words"))
+    whole = hits.alias("h").join(words.alias("w"), same("h", "w") & F.col("h.slots").isNotNull(), "left").select("h.*", "w.words")
+    own = F.slice("words", F.col("dpos") + 1, F.col("size"))
     pairs = F.filter(
         F.zip_with(F.arrays_zip(F.col("slots.raw").alias("raw"), F.col("slots.marks").alias("marks")), own, lambda a, b: F.struct(a["raw"].alias("item"), b.alias("doc"), a["marks"].alias("mark"))),
         lambda p: p["mark"],
     )
-    return hits.select("doc_id", "__alt", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", "n_windows", F.when(F.col("slots").isNotNull(), pairs).alias("pairs"))
+    out = whole.select("doc_id", "__alt", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", "n_windows", "size", F.when(F.col("slots").isNotNull(), pairs).alias("pairs"))
+    return using(out, bench, hits, named)
 
 
 def contaminated(df: DataFrame, items: DataFrame, coverage: float = 0.5, size: int = WINDOW, text: str = "text", long_run: int = LONG_RUN) -> DataFrame:
@@ -94,19 +125,21 @@ def contaminated(df: DataFrame, items: DataFrame, coverage: float = 0.5, size: i
     them at least are not changed values; so does a stretch of that length with
     no changed value within a run whose values contradict each other.
     Items of fewer than ``size`` words are one window as a whole; of fewer than
-    5, or with a null id, they are left out. Null texts match nothing. Rows that
-    share a doc_id are one document; a null doc_id is kept apart by its text
-    (column ``__alt``). Only documents' windows that meet the benchmark are
-    shuffled, so a passage that a third of all documents quote moves a few rows
-    per document, spread by document.
+    ``LEAST_WORDS``, they match only with the same values. Items without words or
+    with a null id are left out, null and empty texts match nothing, and very
+    long ones are looked through whole. Rows that share a doc_id are one
+    document; a null doc_id is kept apart by its text (column ``__alt``). Of runs
+    that hold equally many words the longer one, then the first is reported. An
+    empty table on either side gives an empty result, and other columns are not
+    read, whatever their names. Only documents' windows that meet the benchmark
+    are shuffled, so a passage that a third of all documents quote moves a few
+    rows per document, spread by document.
     """
-    short = [n for n in range(LEAST_WORDS, size) if not items.where(F.size(template(text_or_empty())) == n).isEmpty()]
-    hits = matches(df, items, size, None, text).withColumn("size", F.lit(size))
-    for n in short:
-        hits = hits.unionByName(matches(df, items, n, n, text).withColumn("size", F.lit(n)))
+    hits = matches(df, items, size, text)
     found = clusters(runs(hits, size, long_run))
     found = found.where(F.col("long") | (F.col("words") >= coverage * F.col("n_words")))
     values = F.col("pairs")
+    found = found.where((F.col("n_words") >= LEAST_WORDS) | ~F.exists(values, lambda p: ~p["item"].eqNullSafe(p["doc"])))
     best = found.groupBy("doc_id", "__alt", "item_id").agg(
         F.max_by(
             F.struct("n_windows", "matched", (F.col("words") / F.col("n_words")).alias("coverage"), F.size(values).alias("n_slots"), F.size(F.filter(values, lambda p: p["item"] != p["doc"])).alias("n_changed"), "run_words"),
@@ -114,7 +147,7 @@ def contaminated(df: DataFrame, items: DataFrame, coverage: float = 0.5, size: i
         ).alias("b")
     )
     counts = [F.col(f"b.{c}").cast("double" if c == "coverage" else "long").alias(c) for c in ("n_windows", "matched", "coverage", "n_slots", "n_changed", "run_words")]
-    return best.select("doc_id", "__alt", "item_id", *counts)
+    return using(best.select("doc_id", "__alt", "item_id", *counts), hits)
 
 
 def runs(hits: DataFrame, size: int, long_run: int) -> DataFrame:
@@ -165,13 +198,16 @@ def decontaminate(df: DataFrame, items: DataFrame, **limits: float) -> DataFrame
     """The rows of ``df`` that match no item, with the columns of ``df``.
 
     The found documents are written first; the texts are then filtered against
-    that small table, by broadcast where its size allows.
+    that small table, by broadcast where its size allows. See ``contaminated``
+    for nulls, repeats, long texts and empty tables.
     """
-    found = written(contaminated(df.select("doc_id", "text"), items, **limits).select(F.col("doc_id").alias("__id"), "__alt").distinct(), "contaminated")
+    hits = contaminated(df.select("doc_id", "text"), items, **limits)
+    found = written(hits.select(F.col("doc_id").alias("__id"), "__alt").distinct(), "contaminated")
+    forget(hits)
     alt = F.md5(text_or_empty())
     clean = df.join(found.where("__id is not null").select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
     nameless = found.where("__id is null").select(F.col("__alt").alias("__alt2"))
-    return clean.join(nameless, F.col("doc_id").isNull() & (alt == F.col("__alt2")), "left_anti")
+    return using(clean.join(nameless, F.col("doc_id").isNull() & (alt == F.col("__alt2")), "left_anti"), found)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

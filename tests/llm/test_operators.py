@@ -404,6 +404,92 @@ def test_decontamination_of_edited_and_partial_copies(spark):
     assert got[0, 1].coverage == 1 and got[2, 1].coverage < 1 and got[4, 2].run_words == 20 and got[10, 4].n_changed == 0
 
 
+def plain_template(t):
+    import regex
+
+    t = regex.sub(r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", decontamination.NAME, t)
+    t = re.sub(r"[0-9]+(?:[.,:/][0-9]+)*", decontamination.NUMBER, t).lower()
+    t = regex.sub(rf"(?<={decontamination.NUMBER} ?)(?:{decontamination.UNITS})(?![\p{{L}}\p{{N}}])", decontamination.UNIT, t)
+    return regex.sub(rf"[^\p{{L}}\p{{N}}{decontamination.PLACES}\s]+", "", t).split()
+
+
+def plain_raw(t):
+    import regex
+
+    return regex.sub(rf"[^\p{{L}}\p{{N}}{decontamination.PLACES}\s]+", "", t.lower()).split()
+
+
+def plain_matches(text, item, width=8, long_run=13):
+    """Whether an item is in a text: runs by plain loops over all pairs of windows, added up where they are near."""
+    dt, dr, it, ir = plain_template(text), plain_raw(text), plain_template(item), plain_raw(item)
+    size = min(width, len(it))
+    if not size:
+        return False
+    hit = {(d, i) for i in range(len(it) - size + 1) for d in range(len(dt) - size + 1) if dt[d : d + size] == it[i : i + size]}
+    mark = [any(c in decontamination.PLACES for c in w) for w in it]
+    values = lambda d, a, b: {(ir[k], dr[d + k]) for k in range(a, b) if mark[k]}
+    runs, long = [], False
+    for d, i in sorted(hit):
+        if (d - 1, i - 1) in hit:
+            continue
+        n = 1
+        while (d + n, i + n) in hit:
+            n += 1
+        got = values(d - i, i, i + n + size - 1)
+        words = n + size - 1
+        fine = len({a for a, _ in got}) == len(got)
+        # the longest stretch of windows without a changed value
+        copied, best = [], None
+        for k in range(i, i + n):
+            clean = all(a == b for a, b in values(d - i, k, k + size))
+            copied = [*copied, k] if clean else []
+            if copied and (best is None or len(copied) > best[1] - best[0] + 1):
+                best = (copied[0], copied[-1])
+        held = best is not None and best[1] - best[0] + size >= long_run
+        if fine:
+            long |= words >= long_run and words - sum(a != b for a, b in got) >= size or held
+            runs.append((d - i, i, i + n - 1, got))
+        elif held:
+            long = True
+    if long:
+        return True
+    runs.sort(key=lambda r: (r[1] + r[0], r[2] + r[0] + size, r[1]))
+    groups, past = [], None
+    for r in runs:
+        if past is None or r[1] + r[0] - past > len(it):
+            groups.append([])
+        groups[-1].append(r)
+        past = max(past if past is not None else -1, r[2] + r[0] + size)
+    for g in groups:
+        words = min(len({k for _, a, b, _ in g for k in range(a, b + size)}), len({s + k for s, a, b, _ in g for k in range(a, b + size)}))
+        if words >= 0.5 * len(it) and (len(it) >= decontamination.LEAST_WORDS or all(a == b for *_, got in g for a, b in got)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_equals_plain_loops(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)  # 0: by shuffles alone
+    rng = random.Random(21)
+    words = ["a", "b", "c", "12", "7 km", "so Anna", "so Boris", "x,", "7", "then"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [line(rng.choice([1, 2, 3, 4, 6, 9, 14, 25])) for _ in range(24)] + ["3 apples cost 4 euros", "", "three 5 km"]
+    texts = []
+    for _ in range(90):
+        w = line(rng.randint(0, 30)).split()
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items).split()
+            part = part[rng.randint(0, 3) :] if rng.random() < 0.3 else part
+            part = [str(rng.randint(1, 99)) if x.isdigit() and rng.random() < 0.5 else x for x in part]
+            w[len(w) // 2 : len(w) // 2] = part
+        texts.append(" ".join(w))
+    texts += ["three 5 km", "three 6 km", "", None, "9 apples cost 8 euros"]
+    items_df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, texts, size=1, h="x", words=2), items_df).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if plain_matches(t or "", x)}
+    assert got == want and 50 < len(want) < len(texts) * len(items) / 2
+
+
 # -- 4 ----------------------------------------------------------------------------
 
 
