@@ -12,6 +12,7 @@ pieces of that length.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import zlib
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import documents, text_or_empty, written
 
 CACHE = 400_000
@@ -198,8 +200,9 @@ def pack(lengths: np.ndarray, counts: np.ndarray, capacity: Capacity = Capacity(
 def pieces(df: DataFrame, vocabulary: str, pattern: str, special: dict[str, int], most: int = 2048, end: int = 0, text: str = "text") -> DataFrame:
     """A row for each piece: ``df`` without its text, piece, start, length, ids_crc32.
 
-    A null text counts as empty and gives one piece with the end id alone.
-    Columns of ``df`` with these names are replaced.
+    A null or empty text gives one piece with the end id alone; a very long one
+    is encoded whole and cut by ids. Rows that repeat each give their pieces, and
+    an empty table none. Columns of ``df`` with these names are replaced.
     """
     made = ("piece", "start", "length", "ids_crc32")
     others = [c for c in df.columns if c != text and c not in made]
@@ -234,8 +237,10 @@ def best_fit(parts: DataFrame, capacity: Capacity = Capacity(), measure: str = "
     from a window over (length, bucket), where the buckets split every length by
     a hash of the piece, and from a running sum of the buckets' sizes; no task
     holds a whole length. Rows that are equal in all columns take
-    interchangeable places. Null ids are ranked like any other value. An empty
-    table gives an empty result.
+    interchangeable places; of bins that fit equally well the first is taken.
+    Null ids are ranked like any other value, a piece longer than a bin is
+    refused, columns named as a result are replaced, and an empty table gives an
+    empty result.
     """
     spark = parts.sparkSession
     parts = written(parts.drop("sequence_id", "offset"), "pieces")
@@ -262,10 +267,30 @@ def best_fit(parts: DataFrame, capacity: Capacity = Capacity(), measure: str = "
 
 
 def vocabulary() -> dict:
-    """The public byte-level vocabulary that the queries use."""
+    """The public byte-level vocabulary that the queries use.
+
+    The ids are those of ``tokenizers`` with the JSON file, special strings
+    among them; texts are encoded by the faster library with the same vocabulary
+    as ranks, once both files are seen to hold the same tokens.
+    """
     import public_tokenizers
 
-    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return {"vocabulary": ranks, "pattern": public_tokenizers.PATTERN, "special": same_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), ranks)}
+
+
+def same_vocabulary(path: str, ranks: str) -> dict[str, int]:
+    """Special tokens of a byte-level JSON file, whose other tokens and ids must be those of the file of ranks."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
+    byte = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
+    theirs = {b"".join(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    with open(ranks, "rb") as f:
+        ours = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if theirs != ours:
+        raise ValueError(f"{path} and {ranks} do not hold the same tokens")
+    return special
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, once, text_or_empty, written
+from .common import documents, once, text_or_empty, using, written
 
 # The patterns start a match only where a run of their characters starts or the
 # last match ended, and take runs possessively: the same leftmost matches as the
@@ -258,8 +258,12 @@ def with_all_spans(df: DataFrame, model: SpanModel) -> DataFrame:
 def find_pii(df: DataFrame, text: str = "text") -> tuple[DataFrame, SpanModel]:
     """doc_id, counts of the base kinds, base_sha256, spans and n_added per row; and the model.
 
-    A null text counts as empty. Every row gives one row. The spans of all rows
-    (no texts) are written to the shared folder once, between fitting and use.
+    A null text counts as empty, and a very long one is looked through whole.
+    Every row gives one row, repeated ones too, and an empty table none. Spans of
+    different kinds may overlap; candidates that overlap a base span are no
+    candidates, and a probability of just the threshold counts as personal.
+    Other columns are not read, whatever their names. The spans of all rows (no
+    texts) are written to the shared folder once, between fitting and use.
     """
     spans = candidates(base_spans(df.select("doc_id", text_or_empty(text).alias("__text")))).select("doc_id", "__base", "__cand")
     spans = written(spans, "pii-spans")
@@ -291,14 +295,18 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with personal data in its text replaced; a null text stays null.
 
-    Other columns stay as they are, except ``n_chars`` (the new text's length)
-    where there is one. Two passes over the texts: one counts vote patterns, one
-    replaces.
+    Other columns stay as they are, whatever their names, except ``n_chars``
+    (the new text's length) where there is one. Texts are analysed once, whole,
+    and written beside their spans; the model comes from all rows before any is
+    replaced. Spans that overlap are replaced as one, by the kind that starts
+    first, of equal starts the shorter. Repeated rows each give a row, and an
+    empty table an empty one.
     """
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
     spans = candidates(base_spans(row.withColumn("__text", F.coalesce(F.col("__row")[text], F.lit("")))))
+    spans = written(spans.select("__row", "__base", "__cand"), "pii-texts")
     model = estimate(count_patterns(spans.select("__cand")))
-    out = with_all_spans(spans, model).withColumn("__sorted", once(F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
+    out = with_all_spans(spans, model).withColumn("__text", F.coalesce(F.col("__row")[text], F.lit(""))).withColumn("__sorted", once(F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
     out = out.withColumn("__new", F.when(F.col("__row")[text].isNotNull(), redacted(F.col("__text"), F.col("__sorted"))))
 
     def value(c: str) -> Column:
@@ -308,7 +316,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             return F.when(F.col("__new").isNull(), F.col("__row")[c]).otherwise(F.char_length("__new")).cast(df.schema[c].dataType).alias(c)
         return F.col("__row")[c].alias(c)
 
-    return out.select(*[value(c) for c in df.columns])
+    return using(out.select(*[value(c) for c in df.columns]), spans)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
