@@ -26,6 +26,8 @@ BIN, LAST = 32, 1 << 15
 FLOOR = (0.05, 0.04, 0.1, 0.1)
 #: Concentration steps at most, and by how much each must lower the determinant's logarithm.
 MOST_STEPS, STILL = 20, 1e-4
+#: Groups up to which their table is broadcast (under 300 bytes each); beyond, the join shuffles.
+MOST_GROUPS = 100_000
 #: Rows that the estimate of the group above counts for.
 PRIOR = 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -144,6 +146,11 @@ def pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
+def small(groups: DataFrame) -> DataFrame:
+    """A written table of groups, to be broadcast if it is small: rows of a hot group then stay where they are."""
+    return F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
+
+
 def starts(rows: DataFrame, floor: tuple[float, ...]) -> DataFrame:
     """__g, start, rows, location m and scatter c of four deterministic starts per group.
 
@@ -155,7 +162,7 @@ def starts(rows: DataFrame, floor: tuple[float, ...]) -> DataFrame:
     quarters = rows.groupBy("__g").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in VECTOR])
     quarters = quarters.select("__g", *[(F.col(c)[1] / SCALE).alias(f"med{k}") for k, c in enumerate(VECTOR)], *[((F.col(c)[2] - F.col(c)[0]) / SCALE / 1.349).alias(f"q{k}") for k, c in enumerate(VECTOR)])
     quarters = written(quarters.select("*", *[F.sqrt(F.col(f"q{k}") ** 2 + floor[k] ** 2).alias(f"s{k}") for k in range(p)]), "mcd-quarters")
-    wide = rows.join(quarters, "__g").select("__g", *VECTOR, *[((F.col(c) / SCALE - F.col(f"med{k}")) / F.col(f"s{k}")).alias(f"y{k}") for k, c in enumerate(VECTOR)])
+    wide = rows.join(small(quarters), "__g").select("__g", *VECTOR, *[((F.col(c) / SCALE - F.col(f"med{k}")) / F.col(f"s{k}")).alias(f"y{k}") for k, c in enumerate(VECTOR)])
     length = F.sqrt(sum((F.col(f"y{k}") ** 2 for k in range(1, p)), F.col("y0") ** 2))
     fixed = lambda c: F.round(c * SCALE).cast("long")
     wide = wide.select("__g", *VECTOR, *[fixed(F.tanh(f"y{k}")).alias(f"t{k}") for k in range(p)], *[fixed(F.when(length > 0, F.col(f"y{k}") / length).otherwise(0.0)).alias(f"u{k}") for k in range(p)])
@@ -210,7 +217,7 @@ def fit(stats: DataFrame, support: float = 0.75, floor: tuple[float, ...] = FLOO
     # the nearest share of a normal sample has too small a scatter, by this factor
     narrow = support / chi2_cdf(chi2_quantile(support, p), p + 2)
     for step in range(most_steps):
-        near = rows.join(params.where("open").select("__g", "start", "x.*"), "__g").withColumn("__b", F.least(F.floor(distance(p) * BIN), F.lit(LAST)).cast("int"))
+        near = rows.join(small(params.where("open").select("__g", "start", "x.*")), "__g").withColumn("__b", F.least(F.floor(distance(p) * BIN), F.lit(LAST)).cast("int"))
         bins = near.groupBy("__g", "start", "__b").agg(
             F.count("*").alias("n"),
             *[F.sum(f"z{i}").alias(f"a{i}") for i in range(p)],
@@ -251,7 +258,7 @@ def fit(stats: DataFrame, support: float = 0.75, floor: tuple[float, ...] = FLOO
 
 def judged(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
     """Add ``distance2`` (null where no row of the group passes the base rules) and ``kept``."""
-    out = stats.join(params, ["__lang", "__source"], "left").withColumn("distance2", distance(len(VECTOR)))
+    out = stats.join(small(params), ["__lang", "__source"], "left").withColumn("distance2", distance(len(VECTOR)))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True)))
 
 
