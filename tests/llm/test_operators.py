@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -519,7 +520,7 @@ def test_url_rules(spark):
     assert url_filters.url_filters(pages.limit(0), labels).count() == 0 and url_filters.url_filters(pages, labels.limit(0)).count() == len(urls) + 1
 
 
-def test_url_association(spark):
+def test_url_association(spark, monkeypatch):
     rng = random.Random(7)
     rows, marks = [], []
     for i in range(600):
@@ -535,6 +536,20 @@ def test_url_association(spark):
     rules = [set(r.antecedent) for r in url_filters.mine(pages, labels).collect()]
     tokens = {r.page_id: set(r.t) for r in pages.select("page_id", url_filters.url_tokens(F.col("url")).alias("t")).collect()}
     assert all((got[i] == "block") == any(r <= tokens[i] for r in rules) for i in got)
+    # the rules are those of a count of all combinations, in either way of mining
+    labelled = {i: q == 0 for i, q, _ in marks}
+    n, both = Counter(), Counter()
+    for i, b in labelled.items():
+        for size in (1, 2, 3):
+            for c in combinations(sorted(tokens[i]), size):
+                n[c] += 1
+                both[c] += b
+    want = {c: both[c] / n[c] for c in n if both[c] >= 20 and both[c] / n[c] >= 0.5 and both[c] / n[c] * len(labelled) / sum(labelled.values()) >= 1.5}
+    assert {tuple(r.antecedent): r.confidence for r in url_filters.mine(pages, labels).collect()} == want
+    monkeypatch.setattr(url_filters, "MOST_TOKENS", 1)
+    monkeypatch.setattr(url_filters, "MOST_BROADCAST", 0)
+    assert {tuple(r.antecedent): r.confidence for r in url_filters.mine(pages, labels).collect()} == want
+    assert {r.page_id: r.verdict for r in url_filters.url_filters(pages, labels).collect()} == got
 
 
 # -- 3 ----------------------------------------------------------------------------
