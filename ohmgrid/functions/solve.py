@@ -41,8 +41,12 @@ def solve(land: Landscape, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     With block labels (grid rows), by block-tridiagonal elimination: cost
     blocks x width^3; without them, dense.
     """
+    return solve_weighted(land, weights(land, c))
+
+
+def solve_weighted(land: Landscape, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``solve``, for the weights of the edges. The graph must be connected."""
     n, m = land.n, len(land.focal)
-    w = weights(land, c)
     z = np.full((n, m), -1.0 / n)
     z[land.focal, np.arange(m)] += 1
     g = np.zeros((n, m))
@@ -117,6 +121,41 @@ def _ranges(sorted_keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(sorted_keys, at, "left"), np.searchsorted(sorted_keys, at, "right")
 
 
+def component_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each vertex the smallest one that edges reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for end in (i, j):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def resistances(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, focal: np.ndarray, block: np.ndarray | None = None) -> np.ndarray:
+    """Effective resistances between the focal vertices; infinite between those that no path joins."""
+    there = w > 0
+    i, j, w = i[there], j[there], w[there]
+    label, m = component_labels(n, i, j), len(focal)
+    out = np.full((m, m), np.inf)
+    np.fill_diagonal(out, 0.0)
+    for c in np.unique(label[focal]):
+        here, own = np.flatnonzero(label[focal] == c), np.flatnonzero(label == c)
+        if len(own) < 2:
+            continue
+        at, edge = np.full(n, -1), label[i] == c
+        at[own] = np.arange(len(own))
+        land = Landscape(at[i[edge]], at[j[edge]], np.empty((len(own), 0)), at[focal[here]], None if block is None else block[own])
+        e = solve_weighted(land, w[edge])[1]
+        d = np.diag(e)
+        out[np.ix_(here, here)] = d[:, None] + d[None] - 2 * e
+    return out
+
+
 def gradient(land: Landscape, c: np.ndarray, g: np.ndarray, de: np.ndarray) -> np.ndarray:
     """Gradient by conductance: per edge minus the quadratic form of the solutions' difference."""
     d = g[land.i] - g[land.j]

@@ -189,15 +189,8 @@ def cut_raster(spark, d):
     return R.mask_missing(X.raster(spark, d, blank_col=37), LAYERS)
 
 
-@query("connected_components", f"""WITH RECURSIVE {X.RASTER_SQL}, active AS (SELECT * FROM raster WHERE size IS NOT NULL AND col <> 37 AND row < 6), {EDGES_SQL}, sides AS (SELECT i AS a, j AS b FROM edges UNION ALL SELECT j, i FROM edges),
-r(cell, c) AS (SELECT cell, cell FROM active UNION SELECT sides.b, r.c FROM r JOIN sides ON sides.a = r.cell AND r.c < sides.b) SELECT cell, MIN(c) AS comp FROM r GROUP BY cell""")
-def _(spark, d):
-    a = cut_raster(spark, d).where("row < 6")
-    return G.components(a, G.grid_edges(a, 8))
-
-
-#: The whole raster; recursive SQL is too slow for that, so a union-find tests it.
-@query("connected_components_whole")
+#: The missing column cuts the raster into two components, each named by its first cell.
+@query("connected_components", f"WITH {X.RASTER_SQL} SELECT cell, MIN(cell) OVER (PARTITION BY col < 37) AS comp FROM raster WHERE size IS NOT NULL AND col <> 37")
 def _(spark, d):
     a = cut_raster(spark, d)
     return G.components(a, G.grid_edges(a, 8))
@@ -441,7 +434,8 @@ def _(spark, d):
 # -- solves: no SQL ---------------------------------------------------------------
 
 
-def on_largest(spark, d):
+def surface(spark, d):
+    """Vertices, edges and sites; ``landscape`` takes the largest component."""
     a = active(spark, d)
     return a, G.grid_edges(a, 8), site_table(spark, d)
 
@@ -458,7 +452,7 @@ def _(spark, d):
 
 @query("theta_grid_distance")
 def _(spark, d):
-    a, e, s = on_largest(spark, d)
+    a, e, s = surface(spark, d)
     land = S.landscape(a, e, s, LAYERS)
     return rounded(S.grid_distances(spark, [[t, -0.0005] for t in (-0.02, 0.0, 0.02)], land), "covariance", "resistance")
 
@@ -467,8 +461,9 @@ def _(spark, d):
 def _(spark, d):
     import numpy as np
 
-    a, e, s = on_largest(spark, d)
-    land = S.landscape(a, e, s, LAYERS)
+    a, e, s = surface(spark, d)
+    labelled = X.features(spark, d).select(F.col("grp").alias("site")).distinct()
+    land = S.landscape(a, e, s.join(labelled, "site", "left_semi"), LAYERS)  # the response has a value for these sites
     m = len(land.focal)
     response = np.zeros((m, m))
     for r in response_pairs(spark, d).collect():
@@ -500,12 +495,12 @@ def _(spark, d):
     return rounded(est.join(truth, "parameter", "left").withColumn("bias", F.col("est") - F.col("truth")), "est", "bias")
 
 
-@query("boundary_difference", f"{A}, s AS (SELECT s_suppkey * 20 + 3 AS cell FROM supplier WHERE s_suppkey < 10) SELECT cell FROM active EXCEPT SELECT cell FROM s")
+@query("boundary_difference", f"{A}, s AS (SELECT s_suppkey * 20 + 3 AS cell FROM supplier WHERE (s_suppkey * 20 + 3) % 17 <> 0) SELECT cell FROM active EXCEPT SELECT cell FROM s")
 def _(spark, d):
     return active(spark, d).select("cell").join(site_table(spark, d).select("cell"), "cell", "left_anti")
 
 
-@query("boundary_intersection", f"{A}, s AS (SELECT s_suppkey * 20 + 3 AS cell FROM supplier WHERE s_suppkey < 10) SELECT cell FROM active INTERSECT SELECT cell FROM s")
+@query("boundary_intersection", f"{A}, s AS (SELECT s_suppkey * 20 + 3 AS cell FROM supplier WHERE (s_suppkey * 20 + 3) % 17 <> 0) SELECT cell FROM active INTERSECT SELECT cell FROM s")
 def _(spark, d):
     return active(spark, d).select("cell").intersect(site_table(spark, d).select("cell"))
 

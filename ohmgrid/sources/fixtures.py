@@ -22,9 +22,9 @@ def raster(spark: SparkSession, sf_dir: str, blank_col: int | None = None) -> Da
     return p.select("cell", "row", "col", F.when(there, F.col("p_size").cast("double")).alias("size"), F.when(there, F.col("p_retailprice")).alias("price"), F.when(there, F.col("p_brand")).alias("brand"))
 
 
-def sites(spark: SparkSession, sf_dir: str, most: int = 10) -> DataFrame:
-    """site, cell, bal, nation of the first suppliers, on cells that are not masked."""
-    s = read(spark, sf_dir, "supplier").where(F.col("s_suppkey") < most)
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, cell, bal, nation of all suppliers whose cell is not masked."""
+    s = read(spark, sf_dir, "supplier").where((F.col("s_suppkey") * 20 + 3) % 17 != 0)
     return s.select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") * 20 + 3).alias("cell"), F.col("s_acctbal").alias("bal"), F.col("s_nationkey").cast("long").alias("nation"))
 
 
@@ -49,6 +49,6 @@ raster AS (SELECT p_partkey AS cell, p_partkey // {WIDTH} AS row, p_partkey % {W
   CASE WHEN p_partkey % 17 <> 0 THEN p_retailprice END AS price,
   CASE WHEN p_partkey % 17 <> 0 THEN p_brand END AS brand FROM part)"""
 ACTIVE_SQL = RASTER_SQL + ", active AS (SELECT * FROM raster WHERE size IS NOT NULL AND price IS NOT NULL AND brand IS NOT NULL)"
-SITES_SQL = "sites AS (SELECT s_suppkey AS site, s_suppkey * 20 + 3 AS cell, s_acctbal AS bal, CAST(s_nationkey AS BIGINT) AS nation FROM supplier WHERE s_suppkey < 10)"
+SITES_SQL = "sites AS (SELECT s_suppkey AS site, s_suppkey * 20 + 3 AS cell, s_acctbal AS bal, CAST(s_nationkey AS BIGINT) AS nation FROM supplier WHERE (s_suppkey * 20 + 3) % 17 <> 0)"
 FEATURES_SQL = "features AS (SELECT vec_id AS unit, CAST(label AS BIGINT) AS grp, generate_subscripts(embedding, 1) - 1 AS feature, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
 COUNTS_SQL = "counts AS (SELECT CAST(s_nationkey AS BIGINT) AS pop, p_type AS locus, SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y, COUNT(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)"
