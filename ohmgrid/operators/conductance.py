@@ -31,6 +31,11 @@ def derivatives(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({f"dc_{x}": F.col("c") * F.col(x) for x in cols})
 
 
+def second_derivatives(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Add ddc_k_l = c x_k x_l of the log-linear model, for every k up to l."""
+    return df.withColumns({f"ddc_{x}_{z}": F.col("c") * F.col(x) * F.col(z) for k, x in enumerate(cols) for z in cols[k:]})
+
+
 def interval(df: DataFrame, theta: list[float], cols: list[str], cov: list[list[float]], level: float = 0.95) -> DataFrame:
     """Add est, lower and upper of the log-linear model, from the parameters' covariance."""
     z = NormalDist().inv_cdf((1 + level) / 2)

@@ -109,12 +109,14 @@ def components(nodes: DataFrame, edges: DataFrame, cell: str = "cell") -> DataFr
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; a temporary one only where none is set."""
+    """Cut the lineage in the session's checkpoint folder; a temporary one only where none is set and the master is local."""
     import tempfile
 
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ohmgrid-"))
     return df.checkpoint()
 

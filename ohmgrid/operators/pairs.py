@@ -14,8 +14,9 @@ def site_pairs(sites: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def standardized(sites: DataFrame, cols: list[str]) -> DataFrame:
-    w = Window.partitionBy()
-    return sites.select(*[((F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w)).alias(c) if c in cols else F.col(c) for c in sites.columns])
+    """Columns centred and scaled, by one aggregate of one row."""
+    one = F.broadcast(sites.agg(*[x for c in cols for x in (F.avg(c).alias(f"__m_{c}"), F.stddev_samp(c).alias(f"__d_{c}"))]))
+    return sites.join(one).select(*[((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__d_{c}")).alias(c) if c in cols else F.col(c) for c in sites.columns])
 
 
 def endpoint_covariates(sites: DataFrame, cols: list[str], transform: str = "absdiff") -> DataFrame:
@@ -35,8 +36,13 @@ def endpoint_covariates(sites: DataFrame, cols: list[str], transform: str = "abs
     return site_pairs(sites, cols).select("i", "j", *made)
 
 
-def selected_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Pairs named in ``chosen`` (a, b in either order)."""
+def selected_pairs(pairs: DataFrame, chosen: DataFrame, refuse: bool = False) -> DataFrame:
+    """Pairs named in ``chosen`` (a, b in either order). Pairs of equal ends or named twice are left out or, with ``refuse``, an error."""
+    if refuse:
+        named = chosen.groupBy(F.greatest("a", "b").alias("i"), F.least("a", "b").alias("j")).count()
+        bad = named.where("i = j OR count > 1").orderBy("i", "j").limit(10).collect()
+        if bad:
+            raise ValueError(f"pairs of equal ends or named twice: {[(r.i, r.j) for r in bad]}")
     keys = chosen.where("a <> b").select(F.greatest("a", "b").alias("i"), F.least("a", "b").alias("j")).distinct()
     return pairs.join(keys, ["i", "j"], "left_semi")
 
@@ -44,7 +50,10 @@ def selected_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
 def lower(matrix: DataFrame) -> DataFrame:
     """The lower triangle with its place in column-major order."""
     rows = matrix.where("i > j")
-    return rows.select("i", "j", "value", F.row_number().over(Window.orderBy("j", "i")).alias("k"))
+    before = F.sum("count").over(Window.orderBy("j").rowsBetween(Window.unboundedPreceding, -1))  # one row a column
+    starts = rows.groupBy("j").count().select("j", F.coalesce(before, F.lit(0)).alias("__before"))
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy("j").orderBy("i")))
+    return ranked.join(starts, "j").select("i", "j", "value", (F.col("__before") + F.col("__k")).alias("k"))
 
 
 def distance_from_covariance(cov: DataFrame) -> DataFrame:
@@ -60,8 +69,8 @@ def site_kernel(sites: DataFrame, col: str) -> DataFrame:
     a = z.select(F.col("site").alias("i"), F.col(col).alias("zi"))
     b = z.select(F.col("site").alias("j"), F.col(col).alias("zj"))
     raw = a.join(b, F.col("i") >= F.col("j")).select("i", "j", (F.col("zi") * F.col("zj")).alias("value"))
-    mean = F.avg(F.when(F.col("i") == F.col("j"), F.col("value"))).over(Window.partitionBy())
-    return raw.select("i", "j", (F.col("value") / mean).alias("value"))
+    one = F.broadcast(z.agg(F.avg(F.col(col) * F.col(col)).alias("__mean")))
+    return raw.join(one).select("i", "j", (F.col("value") / F.col("__mean")).alias("value"))
 
 
 def drift_design(sites: DataFrame, cols: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,11 +26,16 @@ def partly_missing(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_cells"), F.count(F.when(none, 1)).alias("n_missing"), F.count(F.when(some, 1)).alias("n_partly"))
 
 
-def scale_covariates(df: DataFrame, cols: list[str], method: str = "zscore") -> DataFrame:
-    """Centre and scale layers; a zero scale counts as one. One global aggregate, joined as one row."""
-    if method not in ("zscore", "minmax"):
+def scale_covariates(df: DataFrame, cols: list[str], method: str | Callable[[str], tuple[Column, Column]] = "zscore") -> DataFrame:
+    """Centre and scale layers; a zero scale counts as one. One global aggregate, joined as one row.
+
+    ``method``: zscore, minmax, or a function from a layer to the aggregates of its centre and scale.
+    """
+    if callable(method):
+        stats = [(a.alias(f"__c_{c}"), b.alias(f"__s_{c}")) for c in cols for a, b in [method(c)]]
+    elif method not in ("zscore", "minmax"):
         raise ValueError(method)
-    if method == "zscore":
+    elif method == "zscore":
         stats = [(F.avg(c).alias(f"__c_{c}"), F.stddev_samp(c).alias(f"__s_{c}")) for c in cols]
     else:
         stats = [(F.min(c).alias(f"__c_{c}"), (F.max(c) - F.min(c)).alias(f"__s_{c}")) for c in cols]
@@ -60,9 +66,9 @@ def crop_to_focal_buffer(df: DataFrame, sites: DataFrame, buffer: float | tuple[
     return df.join(box, inside).select(*df.columns)
 
 
-def coarsen(df: DataFrame, cols: list[str], factor: int) -> DataFrame:
-    """Mean of the present values in blocks of ``factor`` cells on a side."""
-    return df.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")).agg(*[F.avg(c).alias(c) for c in cols])
+def coarsen(df: DataFrame, cols: list[str], factor: int, aggregate: Callable[[str], Column] = F.avg) -> DataFrame:
+    """Mean, or another aggregate, of the present values in blocks of ``factor`` cells on a side."""
+    return df.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")).agg(*[aggregate(c).alias(c) for c in cols])
 
 
 def sample_points(df: DataFrame, sites: DataFrame, cols: list[str]) -> DataFrame:

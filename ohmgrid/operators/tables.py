@@ -4,10 +4,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scenarios(spark: SparkSession, sizes: list[int], strategies: list[str], n_designs: int, nsim: int, models: list[str]) -> DataFrame:
+    """scenario_id (from 1, by size, strategy and design), sample_size, strategy, design, sim, model; only random strategies have several designs."""
+    designs = [n_designs if s == "random" else 1 for s in strategies]
+    first = [sum(designs[:k]) for k in range(len(designs))]
+    array = lambda xs: F.array(*map(F.lit, xs))
+    drawn = F.array(*[F.struct(F.lit(s).alias("name"), F.lit(n).alias("n"), F.lit(k).alias("first")) for s, n, k in zip(strategies, designs, first, strict=True)])
+    rows = spark.range(1).select(F.posexplode(array(sizes)).alias("at", "sample_size")).select("*", F.explode(drawn).alias("s"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("s.n"))).alias("design"))
+    number = F.col("at") * sum(designs) + F.col("s.first") + F.col("design")
+    rows = rows.select(number.cast("long").alias("scenario_id"), F.col("sample_size").cast("long").alias("sample_size"), F.col("s.name").alias("strategy"), F.col("design").cast("long").alias("design"))
+    sims = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nsim).cast("long"))).alias("sim"))
+    return sims.select("*", F.explode(array(models)).alias("model"))
+
+
+def with_power(summary: DataFrame, power: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the power that ``power`` (keys, power) gives for each row; null without a match."""
+    return summary.join(power.select(*keys, "power"), keys, "left")
+
+
+def label_heights(curves: DataFrame, panel: str, value: str) -> DataFrame:
+    """Each panel's highest value, and a label's height just below."""
+    return curves.groupBy(panel).agg(F.max(value).alias("ymax"), (F.max(value) * 0.98).alias("label_y"))
+
+
 def information_criterion(loglik: Column, k: Column, n: Column, kind: str = "aic") -> Column:
     if kind == "aic":
         return -2 * loglik + 2 * k
@@ -106,3 +132,26 @@ def mlpe_loglik(pairs: DataFrame, x: str, y: str, alpha: float, beta: float, tau
     logdet = F.log(d1) + (n - 1) * F.log(d2) + n * math.log(rho) + m * math.log(1 - 2 * rho)
     one = site.join(F.broadcast(total))
     return one.select((-0.5 * math.exp(tau) * quad + 0.5 * tau * m - 0.5 * logdet).alias("loglik"))
+
+
+def mlpe_subset_loglik(pairs: DataFrame, x: str, y: str, alpha: float, beta: float, tau: float, rho: float) -> DataFrame:
+    """The likelihood of ``mlpe_loglik`` over chosen pairs only, where it has no closed form.
+
+    A task holds one dense matrix of the sites in the pairs. No pairs give no row.
+    """
+    rows = pairs.select(F.lit(0).alias("g"), "i", "j", (F.col(y) - alpha - beta * F.col(x)).cast("double").alias("e"))
+
+    def loglik(pdf: pd.DataFrame) -> pd.DataFrame:
+        e, m, a = pdf["e"].to_numpy(), len(pdf), 1 - 2 * rho
+        ids, code = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
+        i, j = code[:m], code[m:]
+        shared = np.zeros((len(ids), len(ids)))
+        for p, q in ((i, i), (j, j), (i, j), (j, i)):
+            np.add.at(shared, (p, q), 1.0)
+        s = np.bincount(i, e, len(ids)) + np.bincount(j, e, len(ids))
+        inner = np.eye(len(ids)) * (a / rho) + shared
+        quad = (e @ e - s @ np.linalg.solve(inner, s)) / a
+        logdet = m * math.log(a) + len(ids) * math.log(rho / a) + np.linalg.slogdet(inner)[1]
+        return pd.DataFrame({"loglik": [-0.5 * math.exp(tau) * quad + 0.5 * tau * m - 0.5 * logdet]})
+
+    return rows.groupBy("g").applyInPandas(loglik, "loglik double")

@@ -8,13 +8,16 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.derivative import derivatives
 from ..functions.formula import design
 from ..operators import conductance as C
 from ..operators import genetics as Q
 from ..operators import graph as G
 from ..operators import pairs as P
+from ..operators import products as M
 from ..operators import raster as R
 from ..operators import solve as S
+from ..operators import surface as U
 from ..operators import tables as T
 from ..sources import fixtures as X
 
@@ -540,3 +543,161 @@ def _(spark, d):
 def _(spark, d):
     c = Q.centroids(X.features(spark, d)).withColumnRenamed("grp", "unit").withColumnRenamed("mean", "value")
     return rounded(Q.pca_distance(c, 4), "value")
+
+
+# -- surfaces, points and levels --------------------------------------------------
+
+#: The larger part of the cut raster, numbered.
+SURFACE_SQL = f"WITH {X.RASTER_SQL}, {X.SITES_SQL}, vx AS (SELECT cell, row, col, size, price, ROW_NUMBER() OVER (ORDER BY cell) AS v FROM raster WHERE size IS NOT NULL AND col < 37)"
+
+
+def cut_surface(spark, d) -> U.Surface:
+    s = X.sites(spark, d).where("cell % 40 < 37")  # the others lie on the smaller part
+    return U.conductance_surface(X.raster(spark, d, blank_col=37), LAYERS, s)
+
+
+@query("surface_vertices", f"{SURFACE_SQL} SELECT v, cell, size, price FROM vx")
+def _(spark, d):
+    return cut_surface(spark, d).vertices.select("v", "cell", *LAYERS)
+
+
+@query("surface_edges", f"{SURFACE_SQL} SELECT a.v AS i, b.v AS j FROM vx a JOIN vx b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1)")
+def _(spark, d):
+    return cut_surface(spark, d).edges
+
+
+@query("surface_sites", f"{SURFACE_SQL} SELECT site, v FROM sites JOIN vx USING (cell)")
+def _(spark, d):
+    return cut_surface(spark, d).sites
+
+
+@query("point_sample", f"WITH {X.RASTER_SQL}, p AS (SELECT s_suppkey AS site, s_suppkey * 20 + 3 AS cell FROM supplier) SELECT p.site, p.cell // 40 AS row, p.cell % 40 AS col, size, price FROM p LEFT JOIN raster USING (cell)")
+def _(spark, d):
+    c = F.col("s_suppkey") * 20 + 3
+    r = X.raster(spark, d)
+    rows = r.agg(F.max("row")).first()[0] + 1
+    points = X.read(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), (c % 40 + 0.25).alias("x"), (rows - F.floor(c / 40) - 0.75).alias("y"))
+    return U.sample_coordinates(r, U.locate(U.coordinates(points), 0, rows, rows, 40), LAYERS).select("site", "row", "col", *LAYERS)
+
+
+@query("factor_levels", "SELECT p_partkey AS cell, r_name AS level FROM part LEFT JOIN region ON r_regionkey = p_size % 7")
+def _(spark, d):
+    levels = X.read(spark, d, "region").select(F.col("r_regionkey").alias("ID"), F.col("r_name").alias("name"))
+    codes = X.read(spark, d, "part").select(F.col("p_partkey").alias("cell"), (F.col("p_size") % 7).alias("level"))
+    return U.decode_levels(codes, "level", levels)
+
+
+@query("coarse_stages", f"WITH {X.RASTER_SQL}, {X.SITES_SQL}, f AS (SELECT CAST(UNNEST([2, 4]) AS BIGINT) AS factor), c AS (SELECT DISTINCT factor, row // factor AS r, col // factor AS c FROM raster, f WHERE size IS NOT NULL), n AS (SELECT factor, COUNT(*) AS coarse_vertices FROM c GROUP BY 1), u AS (SELECT factor, COUNT(*) AS k, COUNT(DISTINCT ((cell // 40) // factor, (cell % 40) // factor)) AS unique_sites FROM sites, f GROUP BY 1) SELECT factor, coarse_vertices, unique_sites, k - unique_sites AS duplicate_sites FROM n JOIN u USING (factor)")
+def _(spark, d):
+    s = X.sites(spark, d).select("site", F.floor(F.col("cell") / X.WIDTH).alias("row"), (F.col("cell") % X.WIDTH).alias("col"))
+    return U.stage_summary(U.coarse_stages(X.raster(spark, d), LAYERS, s, [1, 2, 4]))
+
+
+@query("raster_coarsen_max", f"WITH {X.RASTER_SQL} SELECT row // 3 AS row, col // 3 AS col, MAX(size) AS size, MAX(price) AS price FROM raster GROUP BY 1, 2")
+def _(spark, d):
+    return R.coarsen(X.raster(spark, d), LAYERS, 3, F.max)
+
+
+@query("raster_scale_by_function", f"WITH {X.RASTER_SQL} SELECT cell, ROUND((size - AVG(size) OVER ()) / (MAX(size) OVER () - MIN(size) OVER ()), 6) + 0.0 AS size, ROUND((price - AVG(price) OVER ()) / (MAX(price) OVER () - MIN(price) OVER ()), 6) + 0.0 AS price FROM raster")
+def _(spark, d):
+    return rounded(R.scale_covariates(X.raster(spark, d).select("cell", *LAYERS), LAYERS, lambda c: (F.avg(c), F.max(c) - F.min(c))), *LAYERS)
+
+
+@query("conductance_second_derivatives", f"{A}, {COND} SELECT cell, ROUND(c * size * size, 4) AS ddc_size_size, ROUND(c * size * price, 4) AS ddc_size_price, ROUND(c * price * price, 4) AS ddc_price_price FROM cond JOIN active USING (cell)")
+def _(spark, d):
+    out = C.second_derivatives(C.loglinear(active(spark, d), list(THETA), LAYERS), LAYERS)
+    names = ["ddc_size_size", "ddc_size_price", "ddc_price_price"]
+    return rounded(out.select("cell", *names), *names, digits=4)
+
+
+@query("term_derivatives", f"{A}, e AS (SELECT cell, size, EXP(price / 1000) AS e FROM active) SELECT cell, ROUND(2 * size * e, 6) AS d_size, ROUND(size * size * e / 1000, 6) AS d_price, ROUND(2 * e, 6) AS d_size_size, ROUND(2 * size * e / 1000, 6) AS d_size_price, ROUND(size * size * e / 1000000, 6) AS d_price_price FROM e")
+def _(spark, d):
+    first, second = derivatives("I(size^2 * exp(price / 1000))", LAYERS)
+    made = {f"d_{v}": c for v, c in first.items()} | {f"d_{v}_{w}": second[v, w] for v, w in (("size", "size"), ("size", "price"), ("price", "price"))}
+    return rounded(active(spark, d).select("cell", *[c.alias(n) for n, c in made.items()]), *made)
+
+
+# -- products and fixed steps of a solve ------------------------------------------
+
+NUMBERED = f"{A}, {X.SITES_SQL}, vx AS (SELECT cell, size, price, ROW_NUMBER() OVER (ORDER BY cell) AS v FROM active), n AS (SELECT COUNT(*) AS n FROM vx), focal AS (SELECT site, bal / 1000 AS m, v FROM sites JOIN vx USING (cell))"
+
+
+def numbered(spark, d):
+    v = G.vertices(active(spark, d))
+    return v, U.site_vertices(X.sites(spark, d), v)
+
+
+@query("rhs_product", f"{NUMBERED}, o AS (SELECT v, SUM(m) AS m FROM focal GROUP BY v), b AS (SELECT -SUM(m) / ANY_VALUE(n) AS b FROM focal, n) SELECT vx.v, ROUND(COALESCE(o.m, 0) + b, 6) + 0.0 AS m FROM vx LEFT JOIN o USING (v), b, n WHERE vx.v < n")
+def _(spark, d):
+    v, focal = numbered(spark, d)
+    m = X.sites(spark, d).select("site", (F.col("bal") / 1000).alias("m"))
+    return rounded(M.rhs_product(v, focal, m, ["m"]), "m")
+
+
+@query("rhs_crossprod", f"{NUMBERED}, r AS (SELECT v, size, price FROM vx, n WHERE v < n), b AS (SELECT -SUM(size) / ANY_VALUE(n) AS s, -SUM(price) / ANY_VALUE(n) AS p FROM r, n) SELECT site, ROUND(COALESCE(size, 0) + s, 6) + 0.0 AS size, ROUND(COALESCE(price, 0) + p, 6) + 0.0 AS price FROM focal LEFT JOIN r USING (v), b")
+def _(spark, d):
+    v, focal = numbered(spark, d)
+    return rounded(M.rhs_crossprod(v, focal, v.select("v", *LAYERS), LAYERS), *LAYERS)
+
+
+@query("derivative_product", f"{A}, {EDGES_SQL}, {COND}, g AS (SELECT MAX(cell) AS g FROM active), y AS (SELECT cell, CASE WHEN cell = g THEN 0 ELSE price END AS y FROM active, g), dw AS (SELECT i, j, a.c * x.size + b.c * z.size AS w FROM edges JOIN cond a ON a.cell = i JOIN active x ON x.cell = i JOIN cond b ON b.cell = j JOIN active z ON z.cell = j), sides AS (SELECT i AS a, j AS b, w FROM dw UNION ALL SELECT j, i, w FROM dw) SELECT a AS v, ROUND(SUM(w * (p.y - q.y)), 2) + 0.0 AS price FROM sides JOIN y p ON p.cell = a JOIN y q ON q.cell = b, g WHERE a <> g GROUP BY a")
+def _(spark, d):
+    a = active(spark, d)
+    dc = C.derivatives(C.loglinear(a, list(THETA), LAYERS), ["size"]).select("cell", F.col("dc_size").alias("dc"))
+    ground = a.agg(F.max("cell")).first()[0]
+    x = a.select(F.col("cell").alias("v"), "price")
+    return rounded(M.derivative_product(G.grid_edges(a, 8), dc, x, ["price"], ground), "price", digits=2)
+
+
+PCG_SQL = f"""{WEIGHTED}, g AS (SELECT MAX(cell) AS g, AVG(size) AS mean FROM active), dg AS (SELECT a AS v, SUM(w) AS d FROM sides GROUP BY a), inner_e AS (SELECT a, b, w FROM sides, g WHERE a <> g AND b <> g),
+s0 AS MATERIALIZED (SELECT v, d, 0.0::DOUBLE AS x, size - mean AS r, (size - mean) / d AS p FROM dg JOIN active ON cell = v, g WHERE v <> g)"""
+for _k in range(2):
+    PCG_SQL += f""", t{_k} AS (SELECT a AS v, SUM(w * p) AS s FROM inner_e JOIN s{_k} z ON z.v = b GROUP BY a), q{_k} AS MATERIALIZED (SELECT z.*, d * p - COALESCE(s, 0) AS q FROM s{_k} z LEFT JOIN t{_k} USING (v)),
+    l{_k} AS (SELECT SUM(r * r / d) AS rz, SUM(r * r / d) / SUM(p * q) AS al FROM q{_k}), m{_k} AS MATERIALIZED (SELECT v, d, x + al * p AS x, r - al * q AS r, p, rz FROM q{_k}, l{_k}),
+    s{_k + 1} AS MATERIALIZED (SELECT v, d, x, r, r / d + (SELECT SUM(r * r / d) FROM m{_k}) / rz * p AS p FROM m{_k})"""
+
+
+@query("pcg_fixed_k", f"{PCG_SQL} SELECT v, ROUND(x, 6) + 0.0 AS x FROM s2")
+def _(spark, d):
+    a = active(spark, d)
+    ground, mean = a.agg(F.max("cell"), F.avg("size")).first()
+    b = a.select(F.col("cell").alias("v"), (F.col("size") - mean).alias("b"))
+    return rounded(S.pcg(weighted(spark, d), b, ground, steps=2, fixed=True), "x")
+
+
+# -- likelihoods on chosen pairs, power studies -----------------------------------
+
+CHOSEN_SQL = "ch AS (SELECT * FROM pr WHERE (i + 2 * j) % 3 <> 0)"
+
+
+def chosen_pairs(spark, d):
+    rows = response_pairs(spark, d)
+    named = rows.where("(i + 2 * j) % 3 <> 0").select(F.col("j").alias("a"), F.col("i").alias("b"))
+    return P.selected_pairs(rows, named, refuse=True)
+
+
+@query("pair_subset_leastsquares", f"{PAIRS_SQL}, {CHOSEN_SQL} SELECT ROUND(SUM(-0.5 * EXP(-1.0) * (y - 2 - 0.1 * x) * (y - 2 - 0.1 * x)) + 0.5 * -1.0 * COUNT(*), 4) AS loglik FROM ch")
+def _(spark, d):
+    return rounded(T.leastsquares_loglik(chosen_pairs(spark, d), "x", "y", 2.0, 0.1, -1.0), "loglik", digits=4)
+
+
+@query("pair_subset_mlpe")
+def _(spark, d):
+    return rounded(T.mlpe_subset_loglik(chosen_pairs(spark, d), "x", "y", 2.0, 0.1, -1.0, 0.1), "loglik", digits=4)
+
+
+@query("scenario_grid", "WITH a AS (SELECT CAST(UNNEST([20, 30, 50]) AS BIGINT) AS sample_size), b AS (SELECT * FROM (VALUES ('random', 4, 0), ('spacefill', 1, 4)) t(strategy, n, first)), c AS (SELECT sample_size, strategy, UNNEST(RANGE(1, n + 1)) AS design, first FROM a, b), e AS (SELECT *, CAST((CASE sample_size WHEN 20 THEN 0 WHEN 30 THEN 5 ELSE 10 END) + first + design AS BIGINT) AS scenario_id FROM c) SELECT scenario_id, sample_size, strategy, CAST(design AS BIGINT) AS design, CAST(sim AS BIGINT) AS sim, model FROM e, (SELECT UNNEST([1, 2, 3]) AS sim), (SELECT UNNEST(['full', 'null']) AS model)")
+def _(spark, d):
+    return T.scenarios(spark, [20, 30, 50], ["random", "spacefill"], 4, 3, ["full", "null"])
+
+
+@query("parameter_power", f"WITH {REPS_SQL}, s AS (SELECT model, par, ROUND(AVG(est - truth), 4) AS bias FROM reps GROUP BY 1, 2), r AS (SELECT model, replicate, BOOL_AND(ok) AS a FROM reps WHERE model <> '5-LOW' GROUP BY 1, 2), p AS (SELECT model, ROUND(AVG(CAST(a AS INT)), 6) AS power FROM r GROUP BY 1) SELECT model, par, bias, power FROM s LEFT JOIN p USING (model)")
+def _(spark, d):
+    reps = replicates(spark, d)
+    power = T.all_parameter_power(reps.where("model <> '5-LOW'"), ["model"], "replicate")
+    return rounded(rounded(T.with_power(T.parameter_summary(reps, ["model", "par"]).select("model", "par", "bias"), power, ["model"]), "power"), "bias", digits=4)
+
+
+@query("label_heights", f"WITH {REPS_SQL} SELECT model, ROUND(MAX(est), 6) AS ymax, ROUND(MAX(est) * 0.98, 6) AS label_y FROM reps GROUP BY model")
+def _(spark, d):
+    return rounded(T.label_heights(replicates(spark, d), "model", "est"), "ymax", "label_y")
