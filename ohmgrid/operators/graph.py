@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.solve import component_labels
+
 #: Cells that one block of the vertex numbering spans.
 BLOCK = 1 << 16
 
@@ -102,12 +106,35 @@ def components(nodes: DataFrame, edges: DataFrame, cell: str = "cell") -> DataFr
         work = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         work = checkpointed(work)
         now = work.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
+        if now == last or not now[0]:
             break
         last = now
     return nodes.select(F.col(cell).alias("a")).join(work, "a", "left").select(F.col("a").alias(cell), F.coalesce("b", "a").alias("comp"))
 
 
+def grid_components(active: DataFrame, edges: DataFrame, tile: int = 256) -> DataFrame:
+    """cell, comp as ``components`` gives them, for vertices with row and col.
+
+    Square tiles are labelled in one task each (at most ``tile`` squared cells);
+    only the labels that edges between tiles join go through star contraction.
+    """
+    square = (F.floor(F.col("row") / tile) * F.lit(1 << 31) + F.floor(F.col("col") / tile)).cast("long")
+    at = active.select(F.col("cell").cast("long").alias("cell"), square.alias("tile"))
+    ends = [at.select(F.col("cell").alias(c), F.col("tile").alias(f"t{c}")) for c in "ij"]
+    tiled = edges.select("i", "j").join(ends[0], "i").join(ends[1], "j")
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, code = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
+        return pd.DataFrame({"cell": ids, "part": ids[component_labels(len(ids), code[: len(pdf)], code[len(pdf) :])]})
+
+    inside = tiled.where("ti = tj").select("ti", "i", "j").groupBy("ti").applyInPandas(label, "cell long, part long")
+    parts = checkpointed(at.select("cell").join(inside, "cell", "left").select("cell", F.coalesce("part", "cell").alias("part")))
+    ends = [parts.select(F.col("cell").alias(c), F.col("part").alias(f"p{c}")) for c in "ij"]
+    across = tiled.where("ti <> tj").join(ends[0], "i").join(ends[1], "j").select(F.col("pi").alias("i"), F.col("pj").alias("j")).distinct()
+    whole = components(parts.select("part").distinct(), checkpointed(across), "part")
+    return parts.join(whole, "part").select("cell", "comp")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the session's checkpoint folder; a temporary one only where none is set and the master is local."""
     import tempfile
@@ -123,7 +150,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def largest_component(active: DataFrame, edges: DataFrame) -> DataFrame:
     """Active cells of the component with most cells; of equal ones, the one with the smallest cell."""
-    comp = components(active, edges)
+    comp = grid_components(active, edges)
     best = comp.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1)
     return active.join(comp.join(F.broadcast(best.select("comp")), "comp").select("cell"), "cell")
 

@@ -196,7 +196,7 @@ def cut_raster(spark, d):
 @query("connected_components", f"WITH {X.RASTER_SQL} SELECT cell, MIN(cell) OVER (PARTITION BY col < 37) AS comp FROM raster WHERE size IS NOT NULL AND col <> 37")
 def _(spark, d):
     a = cut_raster(spark, d)
-    return G.components(a, G.grid_edges(a, 8))
+    return G.grid_components(a, G.grid_edges(a, 8))
 
 
 @query("largest_component", f"WITH {X.RASTER_SQL} SELECT cell FROM raster WHERE size IS NOT NULL AND col < 37")

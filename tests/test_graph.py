@@ -52,6 +52,16 @@ def test_components_and_errors(spark):
     assert G.components(empty, G.grid_edges(empty, 8)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [2, 3, 100])
+def test_components_by_tiles(spark, tile):
+    a = cells(spark, 9, 11, hole=lambda r, c: (r * 7 + c * 5) % 3 == 0 or c == 6)
+    e = G.grid_edges(a, 4)
+    got = sorted(map(tuple, G.grid_components(a, e, tile).collect()))
+    assert got == sorted(map(tuple, G.components(a, e).collect())) and len({c for _, c in got}) > 2
+    empty = a.where("false")
+    assert G.grid_components(empty, G.grid_edges(empty, 4), tile).count() == 0
+
+
 def test_components_of_the_whole_raster(spark):
     from ohmgrid.plans.queries import QUERIES
 
