@@ -701,3 +701,89 @@ def _(spark, d):
 @query("label_heights", f"WITH {REPS_SQL} SELECT model, ROUND(MAX(est), 6) AS ymax, ROUND(MAX(est) * 0.98, 6) AS label_y FROM reps GROUP BY model")
 def _(spark, d):
     return rounded(T.label_heights(replicates(spark, d), "model", "est"), "ymax", "label_y")
+
+
+# -- solves on a path, where resistances are running sums --------------------------
+
+#: Every unmasked cell is joined to the next one: w of the edge before each cell, and the resistance from the first cell on.
+PATH = f"""{A}, {X.SITES_SQL}, {COND}, st AS (SELECT cell, 1 / (c + LAG(c) OVER (ORDER BY cell)) AS r FROM cond),
+along AS (SELECT site, cell, bal, COALESCE(s, 0) AS s FROM sites JOIN (SELECT cell, SUM(r) OVER (ORDER BY cell ROWS UNBOUNDED PRECEDING) AS s FROM st) USING (cell))"""
+
+
+def path(spark, d):
+    """Cells in order as a grid of one column, and the edges between neighbours."""
+    v = G.vertices(active(spark, d)).withColumns({"row": F.col("v"), "col": F.lit(0).cast("long")})
+    after = v.select((F.col("v") - 1).alias("v"), F.col("cell").alias("j"))
+    return v.drop("v"), v.select("v", F.col("cell").alias("i")).join(after, "v").select("i", "j")
+
+
+def weighted_path(spark, d):
+    cells, edges = path(spark, d)
+    return G.weighted_edges(edges, C.loglinear(cells, list(THETA), LAYERS)), cells
+
+
+PATH_RESISTANCE = f"{PATH} SELECT a.site AS i, b.site AS j, ROUND(ABS(a.s - b.s), 3) AS resistance FROM along a JOIN along b ON a.site > b.site"
+
+
+@query("path_resistance", PATH_RESISTANCE)
+def _(spark, d):
+    w, cells = weighted_path(spark, d)
+    return rounded(S.resistance_distance(w, site_table(spark, d), cells), "resistance", digits=3)
+
+
+@query("path_resistance_tiled", PATH_RESISTANCE)
+def _(spark, d):
+    w, cells = weighted_path(spark, d)
+    return rounded(S.resistance_distance(w, site_table(spark, d), cells, one_task=0), "resistance", digits=3)
+
+
+@query("path_kron_reduce", f"{PATH}, k AS (SELECT LAG(cell) OVER (ORDER BY cell) AS i, cell AS j, 1 / (s - LAG(s) OVER (ORDER BY cell)) AS w FROM along), e AS (SELECT * FROM k WHERE i IS NOT NULL) SELECT i, j, ROUND(-w, 6) AS value FROM e UNION ALL SELECT c, c, ROUND(SUM(w), 6) FROM (SELECT i AS c, w FROM e UNION ALL SELECT j, w FROM e) GROUP BY c")
+def _(spark, d):
+    w, cells = weighted_path(spark, d)
+    return rounded(S.kron_reduce(w, site_table(spark, d), cells), "value")
+
+
+PATH_THETA = f"""{A}, {X.SITES_SQL}, th AS (SELECT grid_id, t FROM (VALUES (CAST(0 AS BIGINT), -0.02), (1, 0.0), (2, 0.02)) v(grid_id, t)), cg AS (SELECT grid_id, cell, EXP(t * size - 0.0005 * price) AS c FROM active, th),
+st AS (SELECT grid_id, cell, 1 / (c + LAG(c) OVER (PARTITION BY grid_id ORDER BY cell)) AS r FROM cg), run AS (SELECT grid_id, cell, COALESCE(SUM(r) OVER (PARTITION BY grid_id ORDER BY cell ROWS UNBOUNDED PRECEDING), 0) AS s FROM st)"""
+PATH_GRID = [[-0.02, -0.0005], [0.0, -0.0005], [0.02, -0.0005]]
+
+
+@query("path_theta_distance", f"{PATH_THETA}, f AS (SELECT cell, ROW_NUMBER() OVER (ORDER BY site) - 1 AS k FROM sites), z AS (SELECT grid_id, k, s FROM run JOIN f USING (cell)) SELECT a.grid_id, a.k AS i, b.k AS j, ROUND(ABS(a.s - b.s), 3) AS resistance FROM z a JOIN z b ON a.grid_id = b.grid_id AND a.k > b.k")
+def _(spark, d):
+    cells, edges = path(spark, d)
+    land = S.landscape(cells, edges, site_table(spark, d), LAYERS)
+    return rounded(S.grid_distances(spark, PATH_GRID, land).select("grid_id", "i", "j", "resistance"), "resistance", digits=3)
+
+
+@query("path_theta_loglik", PATH_THETA + ", " + GOWER.removeprefix("WITH ") + """, z AS (SELECT grid_id, site, s FROM run JOIN sites USING (cell)), p AS (SELECT a.grid_id, ABS(a.s - b.s) AS x, d.value AS y FROM d JOIN z a ON a.site = d.i JOIN z b ON b.site = d.j AND b.grid_id = a.grid_id WHERE d.i > d.j),
+o AS (SELECT grid_id, COUNT(*) AS n, VAR_POP(y) AS syy, GREATEST(COVAR_POP(x, y), 0) AS sxy, VAR_POP(x) AS sxx FROM p GROUP BY grid_id) SELECT grid_id, ROUND(-0.5 * n - 0.5 * n * LN(syy - sxy * sxy / sxx), 4) AS loglik FROM o""")
+def _(spark, d):
+    import numpy as np
+
+    cells, edges = path(spark, d)
+    labelled = X.features(spark, d).select(F.col("grp").alias("site")).distinct()
+    chosen = site_table(spark, d).join(labelled, "site", "left_semi")
+    place = {r[0]: k for k, r in enumerate(chosen.select("site").orderBy("site").collect())}
+    response = np.zeros((len(place), len(place)))
+    for r in response_pairs(spark, d).collect():
+        response[place[r["i"]], place[r["j"]]] = response[place[r["j"]], place[r["i"]]] = r["y"]
+    land = S.landscape(cells, edges, chosen, LAYERS)
+    return rounded(S.grid_loglik(spark, PATH_GRID, land, response).select("grid_id", "loglik"), "loglik", digits=4)
+
+
+@query("pair_disjoint_mlpe", f"{PAIRS_SQL} SELECT ROUND(SUM(-0.5 * EXP(-1.0) * (y - 2 - 0.1 * x) * (y - 2 - 0.1 * x)) + 0.5 * -1.0 * COUNT(*), 4) AS loglik FROM pr WHERE i = j + 1 AND j % 2 = 0")
+def _(spark, d):
+    """Pairs without a common site have independent errors."""
+    return rounded(T.mlpe_subset_loglik(response_pairs(spark, d).where("i = j + 1 AND j % 2 = 0"), "x", "y", 2.0, 0.1, -1.0, 0.1), "loglik", digits=4)
+
+
+@query("pca_distance_all_axes", f"{GOWER}, r AS (SELECT i, j, SQRT(value) AS v FROM d WHERE i > j) SELECT i, j, ROUND((v - MIN(v) OVER ()) / (MAX(v) OVER () - MIN(v) OVER ()), 6) + 0.0 AS value FROM r")
+def _(spark, d):
+    c = Q.centroids(X.features(spark, d)).withColumnRenamed("grp", "unit").withColumnRenamed("mean", "value")
+    return rounded(Q.pca_distance(c), "value")
+
+
+@query("spline_cubic", f"{A}, t AS (SELECT cell, (price - MIN(price) OVER ()) / (MAX(price) OVER () - MIN(price) OVER ()) AS t FROM active) SELECT cell, ROUND(3 * t * (1 - t) * (1 - t), 6) + 0.0 AS x0, ROUND(3 * t * t * (1 - t), 6) + 0.0 AS x1, ROUND(t * t * t, 6) + 0.0 AS x2 FROM t")
+def _(spark, d):
+    """Without inner knots the basis is that of Bernstein's cubics."""
+    return rounded(design(active(spark, d), "~ s(price, df=3)")[0], "x0", "x1", "x2")
