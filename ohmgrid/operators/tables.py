@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def scenarios(spark: SparkSession, sizes: list[int], strategies: list[str], n_designs: int, nsim: int, models: list[str]) -> DataFrame:
     """scenario_id (from 1, by size, strategy and design), sample_size, strategy, design, sim, model; only random strategies have several designs."""
@@ -88,14 +90,26 @@ def cv_summary(rows: DataFrame, value: str = "loglik") -> DataFrame:
     return rows.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def average_ranks(rows: DataFrame, c: str, rank: str) -> DataFrame:
+    """Add the rank by ``c``, from 1; equal values share the mean of theirs. Null or NaN values must be gone.
+
+    Distinct values are counted and dealt by range; a running sum within each
+    range is moved by the counts of the ranges before it (one row a range).
+    """
+    values = rows.groupBy(c).agg(F.count("*").alias("__n")).repartitionByRange(c)
+    values = checkpointed(values.withColumn("__p", F.spark_partition_id()))
+    before = F.sum("__all").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = values.groupBy("__p").agg(F.sum("__n").alias("__all")).select("__p", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum("__n").over(Window.partitionBy("__p").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("__to", within).join(F.broadcast(starts), "__p")
+    ranked = ranked.select(c, (F.col("__before") + F.col("__to") - (F.col("__n") - 1) / 2).alias(rank))
+    return rows.join(ranked, c)
+
+
 def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman (average ranks) over rows with both values."""
     good = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    ranked = good.select("x", "y", rank("x").alias("rx"), rank("y").alias("ry"))
+    ranked = average_ranks(average_ranks(good, "x", "rx"), "y", "ry")
     return ranked.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
 
 

@@ -68,3 +68,13 @@ def test_result_folder(spark, tmp_path):
     assert results.match_model(["a_slope.rds", "b_water.rds"], "slope") == "a_slope.rds"
     with pytest.raises(ValueError):
         results.match_model(["a", "ab"], "a")
+
+
+def test_average_ranks_share_ties(spark):
+    from ohmgrid.operators.tables import average_ranks
+
+    values = [3.0, -1.0, 3.0, 7.5, 0.0, 3.0, -1.0]
+    got = average_ranks(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, x double"), "x", "rank")
+    mean = lambda v: sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2
+    assert {r["k"]: r["rank"] for r in got.collect()} == {k: mean(v) for k, v in enumerate(values)}
+    assert average_ranks(spark.createDataFrame([], "x double"), "x", "rank").count() == 0
