@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def site_pairs(sites: DataFrame, cols: list[str]) -> DataFrame:
-    """i > j with each column at both ends."""
+def site_pairs(sites: DataFrame, cols: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """i > j with each column at both ends; of ``pairs`` (i > j and any columns) only, where given, by lookups of their ends."""
     a = sites.select(F.col("site").alias("i"), *[F.col(c).alias(f"{c}_i") for c in cols])
     b = sites.select(F.col("site").alias("j"), *[F.col(c).alias(f"{c}_j") for c in cols])
+    if pairs is not None:
+        return pairs.join(a, "i").join(b, "j").where("i > j")
     return a.join(b, F.col("i") > F.col("j"))
 
 
@@ -19,8 +21,8 @@ def standardized(sites: DataFrame, cols: list[str]) -> DataFrame:
     return sites.join(one).select(*[((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__d_{c}")).alias(c) if c in cols else F.col(c) for c in sites.columns])
 
 
-def endpoint_covariates(sites: DataFrame, cols: list[str], transform: str = "absdiff") -> DataFrame:
-    """absdiff and sqdiff per column, euclidean and manhattan over all."""
+def endpoint_covariates(sites: DataFrame, cols: list[str], transform: str = "absdiff", pairs: DataFrame | None = None) -> DataFrame:
+    """absdiff and sqdiff per column, euclidean and manhattan over all; of ``pairs`` only, with their columns, where given."""
     d = [F.col(f"{c}_i") - F.col(f"{c}_j") for c in cols]
     if transform == "absdiff":
         made = [F.abs(x).alias(f"absdiff_{c}") for x, c in zip(d, cols, strict=True)]
@@ -33,7 +35,8 @@ def endpoint_covariates(sites: DataFrame, cols: list[str], transform: str = "abs
         made = [(F.sqrt(total) if transform == "euclidean" else total).alias(transform)]
     else:
         raise ValueError(transform)
-    return site_pairs(sites, cols).select("i", "j", *made)
+    kept = [c for c in (pairs.columns if pairs is not None else []) if c not in ("i", "j")]
+    return site_pairs(sites, cols, pairs).select("i", "j", *kept, *made)
 
 
 def selected_pairs(pairs: DataFrame, chosen: DataFrame, refuse: bool = False) -> DataFrame:
