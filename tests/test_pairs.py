@@ -8,7 +8,7 @@ from ohmgrid.plans import queries
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["pair_subset_mlpe", "pair_correlations"])
+@pytest.mark.parametrize("name", ["pair_subset_mlpe", "pair_correlations", "pair_subset_leastsquares"])
 def test_no_join_of_all_sites(spark, monkeypatch, name):
     formed = []
 
