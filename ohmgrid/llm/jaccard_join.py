@@ -260,12 +260,12 @@ def beside(pairs: DataFrame, df: DataFrame, width: int, unique: bool, answer, na
     texts = df.select(F.col("doc_id").cast("long"), "text").join(some, "doc_id", "left_semi")
     if not unique:
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
-    left = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", F.lit(1).alias("role"), "a", "text")
-    hubs = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    right = hubs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "text")
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(1).alias("role"))
+    hubs = parts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    roles = written(dealt.unionByName(hubs), "pair-roles")
+    rows = roles.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "role", "a", "text")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = left.unionByName(right).repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
+    rows = rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
     made = [x.split()[0] for x in names.split(", ")]
     types = [pa.binary() if x.endswith("binary") else pa.int64() for x in names.split(", ")]
 
@@ -283,7 +283,7 @@ def beside(pairs: DataFrame, df: DataFrame, width: int, unique: bool, answer, na
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=made)
 
     done = written(rows.mapInArrow(run, names), "verified")
-    forget(pairs, ids)
+    forget(pairs, ids, roles)
     return done
 
 
@@ -415,20 +415,21 @@ def linked(percent: int) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of every node of the links (a, b).
 
-    Alternating large-star and small-star steps on written edge tables; each
-    step only groups and joins by node.
+    Alternating large-star and small-star steps, each on a written edge table;
+    each only groups and joins by node. Every stage takes some megabytes of the
+    driver's memory while it is submitted, so a plan here has few of them.
     """
+    turned = lambda *pairs: F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])).alias("e")
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(turned(("a", "b"), ("b", "a"))).select("e.*")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "edges-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(low, "a").select(turned(("b", "m"), ("a", "m"))).select("e.*").where("a <> b").distinct()
         new = written(small, "edges")
-        forget(edges)
+        forget(edges, large)
         edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:

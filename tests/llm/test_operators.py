@@ -171,6 +171,31 @@ def test_jaccard_components(spark, seed, monkeypatch):
         assert r.overlap == len(sets[r.a] & sets[r.b]) and r.na == len(sets[r.a]) and r.nb == len(sets[r.b])
 
 
+def test_plans_of_links_and_components_stay_small(spark, monkeypatch):
+    """The driver holds some megabytes for each stage of a plan at once: few stages a plan, all components right."""
+    rng, written, plans = random.Random(3), jaccard_join.written, {}
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plans[name] = max(plans.get(name, 0), len(re.findall(r"\bExchange |BroadcastExchange", plan)))
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    # chains, cycles, a star, both directions, repeats, and a link of a node with itself
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(60, i) for i in range(61, 90)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(61, 60), (5, 4), (5, 4), (200, 200), (-3, 90)]
+    got = {r.node: r.comp for r in jaccard_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    least = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 3}") for i in range(9)], "doc_id long, text string")
+    met = jaccard_join.verify(spark.createDataFrame([(3, 1), (4, 1), (3, 1), (5, 2)], "a long, b long"), docs, 5, True)
+    assert sorted(map(tuple, met.collect())) == [(3, 1, 5, 5, 4), (4, 1, 5, 5, 5), (5, 2, 5, 5, 5)]
+    assert plans["edges"] <= 5 and plans["edges-large"] <= 5 and plans["verified"] <= 5, plans
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (None, "a b c d e f"), (3, None), (4, "x y"), (4, "q r s"), (5, "q r s")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
